@@ -1 +1 @@
-
+"""Column functions and code tables."""

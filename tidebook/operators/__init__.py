@@ -1 +1 @@
-
+"""Relational operators: merge order, routing, book folds, views, snapshots."""

@@ -1 +1 @@
-
+"""Registered queries and text renderers."""

@@ -1 +1 @@
-
+"""Scans of event files and derived event tables."""

@@ -1 +1 @@
-
+"""Streaming books."""
