@@ -2,15 +2,15 @@
 
 The distinct 4-word shingles of a text are hashed into groups. Two texts that are alike enough differ in so few
 shingles that some group must be equal in both, which deals texts into blocks by (group, its content) without losing a pair. The counts of the
-groups make every text a point; the overlap of two texts is at most the sum of the smaller coordinates. An R-tree over
-the points of a block finds the pairs that this bound leaves, and the shingle sets of these are compared exactly.
+groups make every text a point; the overlap of two texts is at most the sum of the smaller coordinates. R-trees over
+the points of a block find what this bound leaves together, and in these clusters the shingle sets of surviving pairs are compared exactly.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .staging import components, cut, release
@@ -20,14 +20,17 @@ SHINGLE = 4
 PERCENT = 85
 _SALTS = 16
 _FAN = 8
+#: Shingles of a node when a cluster is compared exactly.
+PART = 1 << 19
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 class Bands:
     """Size bands of shingle sets for a similarity of percent/100 or more.
 
-    Sets of a band's sizes differ in at most d shingles; with g = d + 1 + 2x groups at least 2x + 1 groups are equal, so each text may
-    leave out its x emptiest groups, which say least, and an equal group remains to both. Sets smaller than least
+    Sets of a band's sizes differ in at most d shingles, and two sets of a and b in at most r * (a + b), with r = (100 - percent) / (100 + percent).
+    With g = d + 3 groups at least g - r * (a + b) are equal; a set of a may leave out (g - 1) / 2 - r * a groups, its emptiest, which say
+    least: two sets leave out fewer than are equal, so an equal group remains to both. Sets smaller than least
     are alike only if equal.
     """
 
@@ -35,15 +38,16 @@ class Bands:
         self.percent = percent
         differ = lambda n: (100 - percent) * 2 * n // (100 + percent)
         self.least = next(n for n in range(1, 1 << 20) if differ(n)) if percent < 100 else 1 << 62
-        self.low, self.groups, self.spare = [self.least], [], []
+        self.low, self.groups = [self.least], []
         while self.low[-1] < 1 << 40 and percent < 100:
             high = self.low[-1] * 3 // 2 + 1
-            d = differ(high - 1)
-            x = max(1, d // 12)
-            self.groups.append(d + 1 + 2 * x)
-            self.spare.append(x)
+            self.groups.append(differ(high - 1) + 3)
             self.low.append(high)
 
+    def spare(self, band: int, n: int) -> int:
+        """Groups that a set of n may leave out of a band."""
+        return max(0, ((self.groups[band] - 1) * (100 + self.percent) - 2 * (100 - self.percent) * n) // (2 * (100 + self.percent)))
+
     def of(self, n: int) -> list[int]:
         """The bands in which a set of n shingles must be found: its own, and the next if sets from there can be alike."""
         if n < self.least:
@@ -70,7 +74,7 @@ def block_keys(u: np.ndarray, bands: Bands) -> np.ndarray:
         at = ((u >> np.uint64(32)) * np.uint64(g)) >> np.uint64(32)
         edge = np.searchsorted(at, np.arange(g + 1, dtype=np.uint64))
         size = np.diff(edge)
-        keep = np.sort(np.argsort(size, kind="stable")[bands.spare[b] :])
+        keep = np.sort(np.argsort(size, kind="stable")[bands.spare(b, len(u)) :])
         content = (spread[edge[1:]] - spread[edge[:-1]])[keep]
         out.append(mix(content + keep.astype(np.uint64) * _C1 + np.uint64((b + 1) * int(_C2) & 0xFFFFFFFFFFFFFFFF)))
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
@@ -141,39 +145,94 @@ def _set_columns(percent: int, full: bool):
     return run
 
 
-def _blocked_pairs(batches, percent: int):
-    """Pairs of a block left by the bound, of different components and without the block's hub. Rows come sorted by key."""
+def forest(comp: np.ndarray, partners):
+    """Yield links (x, y) that join rows of different comp, one for each comp that a search reaches: at most one fewer than comps.
+
+    partners(x, left) gives the rows of left, a mask, that x is linked with.
+    """
+    left = np.ones(len(comp), bool)
+    for seed in range(len(comp)):
+        if not left[seed]:
+            continue
+        queue = np.flatnonzero(left & (comp == comp[seed])).tolist()
+        left[queue] = False
+        while queue:
+            x = queue.pop()
+            for y in partners(x, left).tolist():
+                if left[y]:
+                    yield x, y
+                    reached = np.flatnonzero(left & (comp == comp[y]))
+                    left[reached] = False
+                    queue += reached.tolist()
+
+
+def _grouped(batches, width: int, links):
+    """Rows that come sorted by their first width columns, group by group, through links(rows), which yields (a, b)."""
+
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
     held, key = [], None
+    for b in batches:
+        found = []
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:width] != key:
+                found += links(held)
+                held, key = [], row[:width]
+            held.append(row[width:])
+        yield out(found)
+    yield out(list(links(held)))
+
 
-    def pairs():
-        if len(held) < 2:
+def _block_links(percent: int):
+    """For rows (rid, n, c, point) of a block: links that the bound allows, joining different components c."""
+
+    def links(rows):
+        if len(rows) < 2:
             return
-        points = [np.frombuffer(r[4], "<i4") for r in held]
+        points = [np.frombuffer(r[3], "<i4") for r in rows]
         size = min(len(p) for p in points)
         pts = np.stack([coarser(p, size) for p in points])
-        ns = np.array([r[2] for r in held])
-        comp = np.array([r[3] for r in held])
+        ns = np.array([r[1] for r in rows])
         tree = RTree(pts, ns, percent)
-        for i, r in enumerate(held):
-            for j in tree.search(pts[i], ns[i]).tolist():
-                if r[1] < held[j][1] and comp[i] != comp[j]:
-                    yield r[1], held[j][1]
 
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def partners(x, left):
+            found = tree.search(pts[x], ns[x])
+            return found[left[found]]
 
-    for b in batches:
-        found = []
-        for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if row[0] != key:
-                found += pairs()
-                held, key = [], row[0]
-            held.append(row)
-            if len(found) > 20_000:
-                yield out(found)
-                found = []
-        yield out(found)
-    yield out(list(pairs()))
+        for x, y in forest(np.array([r[2] for r in rows]), partners):
+            yield rows[x][0], rows[y][0]
+
+    return links
+
+
+def _exact_links(percent: int):
+    """For rows (rid, s) of a cluster's part: links between alike sets, a spanning forest of them."""
+
+    def links(rows):
+        if len(rows) < 2:
+            return
+        sets = [np.frombuffer(r[1], "<u8") for r in rows]
+        ns = np.array([len(u) for u in sets])
+        bits = Bands(percent).bits(int(np.median(ns)))
+        pts = np.stack([point(u, bits) for u in sets])
+        tree = RTree(pts, ns, percent)
+
+        def partners(x, left):
+            found = tree.search(pts[x], ns[x])
+            found = found[left[found]]
+            if not len(found):
+                return found
+            u = sets[x]
+            joined = np.concatenate([sets[i] for i in found])
+            at = np.minimum(np.searchsorted(u, joined), len(u) - 1)
+            both = np.add.reduceat((u[at] == joined).astype(np.int64), np.concatenate(([0], np.cumsum(ns[found])[:-1])))
+            return found[alike(both, ns[x], ns[found], percent)]
+
+        for x, y in forest(np.arange(len(rows)), partners):
+            yield rows[x][0], rows[y][0]
+
+    return links
 
 
 def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -194,28 +253,30 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return p.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose shingle sets are alike, compared exactly."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _verified(clusters: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the texts of each cluster (rid, c, n) whose sets are alike: a spanning forest of each part.
+
+    A cluster is cut, in order of set size, into nodes of PART shingles, which bounds a task's memory; nodes meet where the sizes of their sets
+    can be alike. A cluster within one node, which nearly all are, is one part.
+    """
+    w = Window.partitionBy("c").orderBy("n", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    m = cut(clusters.withColumn("node", F.floor(F.sum("n").over(w) / PART).cast("long")))
+    nodes = m.groupBy("c", "node").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    a, b = nodes.alias("a"), nodes.alias("b")
+    meet = (F.col("a.c") == F.col("b.c")) & (F.col("a.node") <= F.col("b.node")) & (100 * F.col("a.hi") >= percent * F.col("b.lo"))
+    pairs = a.join(b, meet).select(F.col("a.c").alias("c"), F.col("a.node").alias("i"), F.col("b.node").alias("j"))
+    ends = pairs.withColumn("node", F.explode(F.array_distinct(F.array("i", "j"))))
+    dealt = m.join(ends, ["c", "node"]).select("c", "i", "j", "rid")
 
     def sets(batches):
         for b in batches:
             found = [np.unique(h).astype("<u8").tobytes() for h in shingles(b.column(1).to_pylist(), SHINGLE)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["rid", "s"])
 
-    held = cut(docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(sets, "doc_id long, s binary").distinct())
-    p = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    p = p.join(held.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb")
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                keep.append(bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return cut(p.mapInArrow(run, "a long, b long").distinct())
+    ids = m.select("rid").distinct()
+    found = docs.select(F.col("doc_id").alias("rid"), "text").join(ids, "rid").dropDuplicates().mapInArrow(sets, "rid long, s binary")
+    dealt = dealt.join(found, "rid").select("c", "i", "j", "rid", "s").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "rid")
+    return dealt.mapInArrow(lambda batches: _grouped(batches, 3, _exact_links(percent)), "a long, b long")
 
 
 def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -227,8 +288,8 @@ def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     are one document, which links as each of its texts does. A row with null doc_id
     is reached through its text's other rows only, and is its own, null, component without them. An empty table gives no rows.
 
-    Every block is first compared with its hub, its least document, which is linear in the block; only members that this leaves in different
-    components are compared with each other, through the R-tree.
+    Blocks whose members the bound joins through their hub, the least document, are settled in one linear pass; the members of others are searched in the
+    block's R-tree. Both only yield links that join components, so a block or cluster of n texts never gives more than n - 1 rows.
     """
     spark: SparkSession = docs.sparkSession
     texts = docs.select("doc_id", "text")
@@ -239,22 +300,21 @@ def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # A doc_id with several texts has a row for each here; it is one node of every graph below.
     keyed = reps.where("rid is not null").select(F.explode("keys").alias("key"), "rid")
-    hubs = keyed.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    blocks = cut(keyed.join(hubs, "key").select("key", "rid", "hub", "m"))
+    hubs = keyed.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").cast("int").alias("m")).where("m > 1")
+    blocks = cut(keyed.join(hubs, "key").where("m > 2 or rid <> hub").select("key", "rid", "hub", "m"))
     release(spark)
     stars = blocks.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-    links = _verified(cut(_bounded(stars, reps, percent).distinct()), docs, percent)
+    near = cut(_bounded(stars, reps, percent).distinct())
+    comp = cut(components(near).withColumnsRenamed({"node": "rid", "component": "c"}))
+    members = blocks.where("m > 2").join(comp, "rid", "left").select("key", "rid", F.coalesce("c", "rid").alias("c"))
+    several = members.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+    members = members.join(several, "key").join(reps.select("rid", "n", "point"), "rid")
+    members = members.select("key", "rid", "n", "c", "point").repartition("key").sortWithinPartitions("key", "rid")
+    near = near.union(members.mapInArrow(lambda batches: _grouped(batches, 1, _block_links(percent)), "a long, b long"))
+    comp = components(near).withColumnsRenamed({"node": "rid", "component": "c"})
+    links = cut(_verified(comp.join(reps.select("rid", "n"), "rid"), docs, percent).distinct())
     release(spark)
 
-    comp = cut(components(links).withColumnsRenamed({"node": "rid", "component": "c"}))
-    open_ = blocks.where("m > 2 and rid <> hub").join(comp, "rid", "left").select("key", "rid", F.coalesce("c", "rid").alias("c"))
-    several = open_.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    open_ = open_.join(several, "key").join(reps.select("rid", "n", "point"), "rid")
-    open_ = open_.select("key", "rid", "n", "c", "point").repartition("key").sortWithinPartitions("key", "rid")
-    more = cut(open_.mapInArrow(lambda batches: _blocked_pairs(batches, percent), "a long, b long").distinct())
-    more = more.join(stars, ["a", "b"], "left_anti")
-    links = links.union(_verified(more, docs, percent))
-
     # Texts of one doc_id are linked through it: classes that meet in a document.
     classes = reps.select("s1", "s2", "rid")
     members = texts.mapInArrow(_set_columns(percent, False), "doc_id long, n long, s1 long, s2 long")

@@ -13,7 +13,6 @@ _FOLD = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _FOLD[65:91] = _FOLD[97:123]
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_STEP = np.array([(0xD6E8FEB86659FD93 * (2 * i + 1) + 0x2545F4914F6CDD1D * i) % (1 << 64) | 1 for i in range(64)], np.uint64)
 _CHUNK = 2 << 20
 _powers: dict[str, np.ndarray] = {}
 
@@ -27,6 +26,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Factors of a shingle's words by place; unrelated to each other, so that words in another order give another sum.
+_STEP = mix(np.arange(1, 65, dtype=np.uint64) * _BASE) | np.uint64(1)
+
+
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
