@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 ROWS_PER_CLASS = 2500
 THRESHOLD = 0.7
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
-#: A word joins the lexicon when so many toxic texts have it, and so many times likelier than other texts.
-LEXICON_DOCS, LEXICON_ODDS = 3, 8.0
+#: A word joins the lexicon when so many toxic texts have it, or this share of them, and so many times likelier than other texts.
+LEXICON_DOCS, LEXICON_SHARE, LEXICON_ODDS = 3, 0.01, 8.0
 NEAR = 8
 OUT = "doc_id long, score double, predicted int"
 #: Second-person words of the languages at hand.
@@ -75,16 +75,30 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
 
 
 def learn_lexicon(texts: list[str], labels: list[int]) -> dict[str, float]:
-    """Words likelier in toxic texts, with their log odds, from document frequencies."""
-    count = (Counter(), Counter())
-    total = [0, 0]
+    """Words likelier in toxic texts, with their log odds.
+
+    A toxic text counts for a word once for each word that is new before it, so that copies of one text count as one; other texts count
+    as they are. A word needs LEXICON_SHARE of the toxic texts, and LEXICON_DOCS at least.
+    """
+    before: dict[str, set] = {}
+    plain = Counter()
+    toxic = sum(labels)
     for t, y in zip(texts, labels, strict=True):
-        count[y].update(set(words(t)))
-        total[y] += 1
+        toks = words(t)
+        if y:
+            first = {}
+            for prev, w in zip(["", *toks], toks, strict=False):
+                first.setdefault(w, prev)
+            for w, prev in first.items():
+                before.setdefault(w, set()).add(prev)
+        else:
+            plain.update(set(toks))
     out = {}
-    for w, k in count[1].items():
-        odds = (k + 0.5) / (total[1] + 1) / ((count[0][w] + 0.5) / (total[0] + 1))
-        if k >= LEXICON_DOCS and len(w) > 2 and odds >= LEXICON_ODDS:
+    least = max(LEXICON_DOCS, LEXICON_SHARE * toxic)
+    for w, seen in before.items():
+        k = len(seen)
+        odds = (k + 0.5) / (toxic + 1) / ((plain[w] + 0.5) / (len(labels) - toxic + 1))
+        if k >= least and len(w) > 2 and odds >= LEXICON_ODDS:
             out[w] = math.log(odds)
     return out
 
