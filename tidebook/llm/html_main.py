@@ -54,8 +54,7 @@ def tokens(page: str | None) -> list[tuple]:
             beside = any(b for _, b in stack)
             block = next((n for n in reversed(names) if n in _BLOCKS and n not in ("article", "main", "section")), "none")
             link = "a" if "a" in names else ""
-            frame = "beside" if beside else "plain"
-            out.append(("w", (frame, block, link), tok, beside, "article" in names or "main" in names))
+            out.append(("w", (block, link), tok, beside, "article" in names or "main" in names))
             continue
         if m[1] or tok[1] in "!?":
             continue
@@ -88,7 +87,7 @@ class Weights:
     """Score of a word by its context and of a tag by its name; tags never score above TAG_MOST."""
 
     TAG_MOST = -0.05
-    WORD_ELSE, TAG_ELSE = 1.0, -1.0
+    WORD_ELSE, TAG_ELSE, MARKED = 1.0, -1.0, -2.0
 
     def __init__(self, words: dict, tags: dict):
         self.words, self.tags = words, tags
@@ -96,22 +95,22 @@ class Weights:
     def word(self, key: tuple) -> float:
         if key in self.words:
             return self.words[key]
-        return -2.0 if key[0] == "beside" or key[2] or key[1] in ("head", "title") else self.WORD_ELSE
+        return -2.0 if key[1] or key[0] in ("head", "title") else self.WORD_ELSE
 
-    def tag(self, name: str, beside: bool) -> float:
-        return self.tags.get((beside, name), self.TAG_ELSE)
+    def tag(self, name: str) -> float:
+        return self.tags.get(name, self.TAG_ELSE)
 
 
 def learn(pages: list[str]) -> Weights:
-    """Log odds of words and tags within the labelled article against outside; tags beside the article count apart; pages without one article element are skipped."""
+    """Log odds of words and tags within the labelled article against outside, marked parts apart; pages without one article element are skipped."""
     inside, outside = Counter(), Counter()
     for page in pages:
         toks = tokens(page)
         if not any(t[4] for t in toks):
             continue
         for kind, key, value, beside, labelled in toks:
-            key = key if kind == "w" else (beside, key)
-            (inside if labelled and not beside else outside)[kind, key] += len(_WORD.findall(value)) if kind == "w" else 1
+            if not beside:
+                (inside if labelled else outside)[kind, key] += len(_WORD.findall(value)) if kind == "w" else 1
     words, tags = {}, {}
     for kind, key in {*inside, *outside}:
         odds = math.log((inside[kind, key] + 0.5) / (outside[kind, key] + 0.5))
@@ -139,7 +138,14 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def extract(page: str | None, weights: Weights) -> str:
     """The main text of one page; empty for a null or empty page or one without running text."""
     toks = tokens(page)
-    scores = [len(_WORD.findall(t[2])) * weights.word(t[1]) if t[0] == "w" else weights.tag(t[1], t[3]) for t in toks]
+    scores, before = [], False
+    for kind, key, value, beside, _ in toks:
+        if beside:
+            # A marked part costs the same however long it is: it is left out of the text, and mustn't split an article around it.
+            scores.append(0.0 if before else weights.MARKED)
+        else:
+            scores.append(len(_WORD.findall(value)) * weights.word(key) if kind == "w" else weights.tag(key))
+        before = beside
     a, b = best_region(scores)
     if b > a:
         # Whole blocks: a region never starts or ends inside one.
