@@ -52,14 +52,14 @@ def subwords(texts: list[str | None]):
             end += 1
         part = texts[at:end]
         at = end
-        joined = "\n".join(t or "" for t in part) + "\n"
+        joined = "\n" + "\n".join(t or "" for t in part) + "\n"
         cp = table[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        ends = np.cumsum([len(t or "") + 1 for t in part])
+        starts = np.cumsum([1] + [len(t or "") + 1 for t in part])
         # One space stands for every run of other characters; text borders lie in such runs and belong to the text before.
         keep = np.ones(len(cp), bool)
         keep[1:] = (cp[1:] != 0) | (cp[:-1] != 0)
-        keep[ends[:-1]] |= True
-        border = np.concatenate(([0], np.cumsum(keep)[ends - 1]))
+        keep[starts[:-1]] = True
+        border = np.cumsum(keep)[starts - 1]
         c = cp[keep].astype(np.uint64)
         h = np.zeros(len(c), np.uint64)
         if len(c) >= 3:
