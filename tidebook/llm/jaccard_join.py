@@ -18,7 +18,6 @@ from .wordhash import mix, shingles
 
 SHINGLE = 4
 PERCENT = 85
-_SALTS = 16
 _FAN = 8
 #: Shingles of a node when a cluster is compared exactly.
 PART = 1 << 19
@@ -37,7 +36,8 @@ class Bands:
     def __init__(self, percent: int = PERCENT):
         self.percent = percent
         differ = lambda n: (100 - percent) * 2 * n // (100 + percent)
-        self.least = next(n for n in range(1, 1 << 20) if differ(n)) if percent < 100 else 1 << 62
+        # From here on a set may be alike to a larger one, or to another of its size.
+        self.least = next(n for n in range(1, 1 << 20) if differ(n) or 100 * n >= percent * (n + 1)) if percent < 100 else 1 << 62
         self.low, self.groups = [self.least], []
         while self.low[-1] < 1 << 40 and percent < 100:
             high = self.low[-1] * 3 // 2 + 1
@@ -324,9 +324,8 @@ def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     same = shared.join(twice, "doc_id").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))
     comp = components(links.union(same)).withColumnsRenamed({"node": "rid", "component": "c"})
     classes = classes.join(comp, "rid", "left").select("s1", "s2", F.coalesce("c", "rid").alias("c"))
-    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    salted = members.withColumn("salt", F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(_SALTS)).cast("int"))
-    known = salted.where("n > 0").join(classes, ["s1", "s2", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    # A text with very many copies has one row in classes; adaptive execution splits its members.
+    known = members.where("n > 0").join(classes, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
     none = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return known.union(none)
 
