@@ -1,0 +1,154 @@
+import re
+from collections import defaultdict
+from html import unescape
+
+from cases import clashing, documents, holds, rows
+from pyspark.sql import functions as F
+
+from tidebook.llm import html_main, mixing, queries, url_filter
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><a href="/">Home</a> The name of the site</header>
+<div class="cookie-notice">We use cookies on this site, please accept all of them now.</div><nav><ul><li><a href=x>One</a></li></ul></nav>
+<div id="content"><h1>Head  line</h1><p>One two three four&nbsp;five six &lt;seven&gt; eight.</p><aside>beside this text</aside><ul><li>first item of the list</li><li>second</li></ul>
+<p>More words of the <a href="y">linked</a> article &eacute; go on here<br>and here.<p>Unclosed <b>end of it</div>
+<div class="comments"><p>First! a reader comment goes here with many words in it.</p></div><form>Sign up</form><script>var a = "</p>";</script><footer>foot &copy;</footer></body></html>"""
+TEXT = "Head line\nOne two three four five six <seven> eight.\nfirst item of the list\nsecond\nMore words of the linked article é go on here and here.\nUnclosed end of it"
+
+
+def test_main_text_of_a_page(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_main.train(pages)
+    assert html_main.extract(PAGE, weights) == TEXT
+    assert html_main.extract(None, weights) == html_main.extract("", weights) == html_main.extract("<p></p>", weights) == ""
+    assert html_main.extract(PAGE, html_main.learn([])) == TEXT
+
+
+def test_main_text_equals_the_articles(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in queries.op5_html_main_text(spark, "/root/testdata/sf0.01").collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        want = "\n".join(b for b in blocks if b)
+        assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
+
+
+def test_main_text_of_odd_pages(spark):
+    df = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, ""), (None, "v", "<p>some words are here</p>"), (4, "w", "no markup, only text"), (5, "x", "<div" * 2000), (6, "y", "<p>" + "word " * 50000)], "page_id long, url string, html string")
+    got = {r[0]: r[2] for r in holds(lambda d: html_main.main_text(d, html_main.train(d)), df)}
+    assert got[1] == got[2] == "" and got[None] == "some words are here" and got[4] == "no markup, only text"
+    assert len(got[6]) == 250000 - 1
+
+
+def test_best_region():
+    assert html_main.best_region([-1, 2, -1, 3, -5, 1]) == (1, 4)
+    assert html_main.best_region([-1, -2]) == html_main.best_region([]) == (0, 0)
+    assert html_main.best_region([1, -3, 1]) == (0, 1)
+
+
+# --- URL filters ---
+
+
+def plain_verdict(url):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m[2]) if m else ("", "")
+    fits = [(len(h + p), h + p, v) for v, h, p in url_filter.LIST_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    _, rule, verdict = max(fits, default=(0, None, None))
+    return host, path, rule, verdict
+
+
+URLS = ["http://A.Example.NET/en/x?y=http://b.com/", "https://example.net/enx", "http://net/", "http://net", "http://xnet/", "http://sub.example.com/de/1#a", "http://example.com/DE/1", "ftp://q.org/fr/", "nothing", "", None, "://", "http://o.org?fr/", "x://y://z.net/"]
+
+
+def test_urls_equal_a_plain_reading(spark):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    for r, u in zip(sorted(url_filter.judge(df).collect(), key=lambda r: r["page_id"]), URLS, strict=True):
+        host, path, rule, verdict = plain_verdict(u)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == (verdict or r["verdict"]) and r["verdict"] in ("allow", "block")
+
+
+def test_mined_rules_equal_counting(spark):
+    """Every combination of tokens, counted by hand, gives the rules; the surest decides."""
+    from itertools import combinations
+
+    urls = [f"http://{h}.org/{p}/{i % 3}" for i, (h, p) in enumerate([("spam-farm", "a"), ("spam-farm", "b"), ("good", "a"), ("good", "b"), ("odd", "a"), ("odd", "b")] * 6)]
+    urls = [f"{u}{i}" for i, u in enumerate(urls)]
+    verdict = lambda u: "block" if "spam" in u or ("odd" in u and "/b/" in u) else "allow"
+    df = spark.createDataFrame([(u, verdict(u)) for u in urls], "url string, verdict string")
+    base = url_filter.url_parts(df).withColumn("tokens", url_filter.tokens())
+    rules = url_filter.mine_rules(base.select("url", "tokens", "verdict"), 0.1, 0.8)
+    count, with_v = defaultdict(int), defaultdict(int)
+    for r in base.collect():
+        for k in range(1, len(r["tokens"]) + 1):
+            for c in combinations(sorted(r["tokens"]), k):
+                count[c] += 1
+                with_v[c, r["verdict"]] += 1
+    n = len(urls)
+    full = {(c, v): m / count[c] for (c, v), m in with_v.items() if m / n >= 0.1 and m / count[c] >= 0.8}
+    kept = {(c, v) for (c, v), f in full.items() if not any(w == v and set(d) < set(c) and g >= f for (d, w), g in full.items())}
+    found = defaultdict(set)
+    for r in rules.collect():
+        found[r["rule_id"], r["verdict"]].add(r["token"])
+    assert {(tuple(sorted(t)), v) for (_, v), t in found.items()} == kept
+    matched = {r["url"]: r["mined"] for r in url_filter.match_rules(base.select("url", "tokens"), rules).collect()}
+    assert all(matched[u] == verdict(u) for u in urls)
+
+
+def test_urls_of_odd_rows(spark):
+    df = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/"), (2, None), (None, "http://b.org/x"), (4, "http://" + "a." * 5000 + "org/" + "p/" * 5000)] + [(9, "http://same.com/en/1")] * 40, "page_id long, url string")
+    holds(url_filter.judge, df)
+    assert rows(url_filter.mine_rules(url_filter.url_parts(df.limit(0)).withColumn("tokens", url_filter.tokens()).withColumn("verdict", F.lit("x")))) == []
+
+
+# --- mixing ---
+
+
+def filled(sizes):
+    """Targets by sharing out the excess again and again."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    left, target, free = sum(sizes.values()), {}, set(names)
+    while free:
+        w = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / w > 3 * sizes[s]}
+        if not over:
+            return target | {s: left * weight[s] / w for s in free}
+        for s in over:
+            target[s] = 3 * sizes[s]
+            left -= 3 * sizes[s]
+            free.discard(s)
+    return target
+
+
+def test_targets_equal_repeated_sharing(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    source = F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 50 == 1, "tiny").otherwise(F.col("source"))
+    df = df.withColumn("source", source)
+    got = mixing.mix(df).collect()
+    sizes, taken = defaultdict(int), defaultdict(int)
+    texts = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in df.collect()}
+    for r in got:
+        assert r["size"] == texts[r["doc_id"]] and 0 <= r["taken"] <= 3 * r["size"]
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    want = filled(sizes)
+    for r in got:
+        assert abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]]) and r["source_size"] == sizes[r["source"]]
+    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] + 20 for s in want)
+    assert rows(mixing.mix(df.repartition(7))) == sorted(map(tuple, got), key=repr)
+
+
+def test_mixing_of_odd_rows(spark):
+    holds(lambda d: mixing.mix(d).select("doc_id", "size", "source_size", "target", "taken"), documents(spark))
+    empty = documents(spark, [(1, None, None, "a", 0), (2, "", None, None, 0)])
+    assert {(r["size"], r["target"], r["taken"]) for r in mixing.mix(clashing(empty)).collect()} == {(0, 0.0, 0)}
+
+
+def test_schedule_ranks_without_gaps(spark):
+    t = spark.createDataFrame([("a", 100, 70.0, 0, 7000, 10000), (None, 50, 30.0, 7000, 10000, 10000)], "source string, source_size long, target double, lo long, hi long, total long")
+    got = mixing.schedule(t, 10000, 1).collect()
+    assert len(got) == 10000
+    for s, share in (("a", 7000), (None, 3000)):
+        own = [r["rank"] for r in sorted(got, key=lambda r: r["slot"]) if r["source"] == s]
+        assert own == list(range(len(own))) and abs(len(own) - share) < 20
