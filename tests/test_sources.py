@@ -40,6 +40,14 @@ def test_bad_lines_are_set_aside(spark, tmp_path):
     assert sorted(r["reason"] for r in ev.malformed(decoded).collect()) == ["not an object", "ts_recv missing", "ts_recv unusable", "ts_recv unusable", "ts_recv unusable"]
 
 
+def test_objects_on_one_line(spark, tmp_path):
+    path = write(tmp_path, line(order="1") + line(order="2") + " " + line(order="3"), line(order="4"))
+    got = ev.read_events(spark, path, framing="concatenated").orderBy("row_block", "row_idx").collect()
+    assert [int(r["order_id"]) for r in got] == [1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        ev.read_events(spark, path, framing="other")
+
+
 def test_empty_file(spark, tmp_path):
     assert ev.read_events(spark, write(tmp_path)).count() == 0
 
@@ -139,4 +147,6 @@ def test_codes_and_helpers(spark):
     ).first()
     assert (r["a"], r["b"], r["c"], r["d"], r["f"], r["g"], int(r["h"]), r["i"]) == ("Mbo", None, ["Last", "PublisherSpec"], (1 << 32) - 1, codes.UNDEFINED_PRICE, 1000999999, 1, "string")
     assert r["e"] == pytest.approx(1.5)
+    k = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (None, 0)], "m int, s int").select(codecs.market_security_key(F.col("m"), F.col("s")).alias("k"))
+    assert [r["n"] for r in k.groupBy("k").agg(F.count("*").alias("n")).orderBy("n").collect()] == [1, 1, 2]
     assert {codes.table(spark, n).count() for n in ("side", "order_type")} == {3}

@@ -144,3 +144,9 @@ def known_codes(code: Column, table: str) -> Column:
     """The name of a code, null for unknown ones."""
     pairs = codes.TABLES[table]
     return reduce(lambda when, p: when.when(code == p[0], p[1]), pairs[1:], F.when(code == pairs[0][0], pairs[0][1]))
+
+
+def market_security_key(market: Column, security: Column) -> Column:
+    """A hash of a security on a market, equal for equal pairs; nulls count as 0, the code for none."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+    return F.xxhash64(zero(market), zero(security))

@@ -103,11 +103,17 @@ def malformed(decoded: DataFrame) -> DataFrame:
     return decoded.where("reason is not null").select(*kept, "reason", F.col("line_").alias("line"))
 
 
-def read_json_lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """value and ordinals of every line of files."""
-    df = spark.read.text(files).select(
-        "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("row_block"), F.monotonically_increasing_id().alias("row_idx")
-    )
+def read_json_lines(spark: SparkSession, files: list[str], framing: str = "lines") -> DataFrame:
+    """value and ordinals of every record of files: one a line, or with framing='concatenated' any number of objects on a line."""
+    # A file's split lies in one partition, so the row's part of the id is enough beside the split's start.
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    df = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("row_block"), row.alias("row_idx"))
+    if framing == "concatenated":
+        # Only between records does a closing brace meet an opening one.
+        df = df.select("file_path", "row_block", "row_idx", F.posexplode(F.split("value", r"(?<=\})\s*(?=\{)")).alias("at_", "value"))
+        df = df.withColumn("row_idx", F.shiftleft("row_idx", 20) + F.col("at_")).drop("at_")
+    elif framing != "lines":
+        raise ValueError(f"unknown framing {framing}")
     return _numbered(df, files)
 
 
@@ -130,14 +136,14 @@ def from_flat(df: DataFrame) -> DataFrame:
     return out.withColumn("order_key", codecs.order_key(F.col("order_id"))).select(*EVENT_COLUMNS, *[c for c in ORDINAL if c in df.columns])
 
 
-def read_events(spark: SparkSession, path: str, fmt: str | None = None, strict_types: bool = False, price_mode: str = "exact") -> DataFrame:
-    """All events at path, with their ordinals. Without fmt the suffix of path decides."""
+def read_events(spark: SparkSession, path: str, fmt: str | None = None, strict_types: bool = False, price_mode: str = "exact", framing: str = "lines") -> DataFrame:
+    """All events at path, with their ordinals. Without fmt the suffix of path decides; the other settings are for JSON."""
     fmt = fmt or _format_of(path)
     files = discover(spark, path, fmt)
     if not files:
         return spark.createDataFrame([], EVENT_DDL + ", file_idx int, row_block long, row_idx long")
     if fmt == "json":
-        return good(decode_lines(read_json_lines(spark, files), price_mode, strict_types))
+        return good(decode_lines(read_json_lines(spark, files, framing), price_mode, strict_types))
     if fmt == "feather":
         from .feather import register
 
