@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import book as fold
 from .merge import global_rank
+from .staging import cut
 from .views import grouped_depth
 
 
@@ -34,6 +35,8 @@ def snapshots(events: DataFrame, every_n: int, groups: int = 5, book: list[str]
     else:
         seg = F.floor((F.col("rank") - 1) / every_n)
     e = ranked.withColumn("seg", seg.cast("long")).where("action in ('A', 'C', 'M', 'R')")
+    # Ranking reads the events twice; what follows reads its result several times.
+    e = cut(e.select(*book, order, order_id, "action", "side", "price", "size", "seg"))
     cuts = events.where("ts_recv > 0").count() // every_n
 
     clear = (F.col("action") == "R").cast("int")
@@ -42,7 +45,7 @@ def snapshots(events: DataFrame, every_n: int, groups: int = 5, book: list[str]
     per = e.where("action = 'R'").groupBy(*book, "seg").agg(F.count("*").alias("m_"))
     known = e.select(*book, "seg").distinct().join(per, [*book, "seg"], "left")
     known = known.withColumn("base_", F.coalesce(F.sum("m_").over(Window.partitionBy(*book).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("m_")
-    e = e.join(known, [*book, "seg"]).withColumn("ep", (F.col("base_") + F.col("in_")).cast("long")).drop("base_", "in_", "n_", "rank")
+    e = e.join(known, [*book, "seg"]).withColumn("ep", (F.col("base_") + F.col("in_")).cast("long")).drop("base_", "in_")
     ends = e.where("action = 'R'").select(*book, (F.col("ep") - 1).alias("ep"), F.col("seg").alias("end_"))
 
     keys = [*book, "ep"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, codes
 from ..operators import book, merge, routing, snapshots, views
+from ..operators.staging import ensure_checkpoint_dir
 from ..sources import derived
 from ..sources import events as ev
 
@@ -214,23 +215,12 @@ def scan_json(spark, sf_dir):
 @query(f"WITH {_MBO} SELECT {_CANON_COLS} FROM mbo")
 def convert(spark, sf_dir):
     lines = ev.to_json_lines(derived.canonical(derived.mbo_events(spark, sf_dir)))
-    out = f"{_shared_folder(spark)}/converted-{uuid.uuid4().hex}"
+    ensure_checkpoint_dir(spark)
+    out = f"{spark.sparkContext.getCheckpointDir()}/converted-{uuid.uuid4().hex}"
     ev.convert(ev.good(ev.decode_lines(lines)), out)
     return _text_ids(spark.read.parquet(out))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="tidebook-")
-
-
 @query(f"WITH {_MBO} SELECT count(*) FILTER (ts_recv > 0) AS n_events FROM mbo")
 def event_count(spark, sf_dir):
     return derived.mbo_events(spark, sf_dir).where("ts_recv > 0").agg(F.count("*").alias("n_events"))
