@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +49,12 @@ def _weights(templates) -> tuple[dict[str, float], list[tuple[str, dict[str, flo
     return idf, vectors, math.log(1 + n) + 1
 
 
-def _anchors(vectors, idf) -> list[str]:
-    """For each template its rarest terms, enough that a line with none of them stays under the threshold."""
+def _anchors(vectors) -> list[str]:
+    """For each template its longest terms, enough that a line with none of them stays under the threshold."""
     out: set[str] = set()
     for _, v in vectors:
         left = 1.0
-        for w in sorted(v, key=lambda w: (-idf[w], -v[w], w)):
+        for w in sorted(v, key=lambda w: (-len(w), -v[w], w)):
             if math.sqrt(max(left, 0.0)) < THRESHOLD:
                 break
             out.add(w)
@@ -61,31 +62,23 @@ def _anchors(vectors, idf) -> list[str]:
     return sorted(out)
 
 
-def _let(value: F.Column, body) -> F.Column:
-    """body(value) with value computed once."""
-    return F.transform(F.array(value), body)[0]
+def best_templates(lines: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(line, best struct<score, license>) of the distinct lines that reach the threshold with some template.
 
-
-def best_template(text: F.Column, templates=TEMPLATES) -> F.Column:
-    """struct(score, license): the template of largest cosine; of equal cosines the later in name order. Score 0 without words."""
+    Sparse vectors as rows: a line's terms are counted, weighed by a join with the idf table and multiplied by a join with the
+    templates' vectors. Both tables are fixed and of a few hundred rows. Of equal cosines the later name counts.
+    """
+    spark = lines.sparkSession
     idf, vectors, unseen = _weights(templates)
-    lit_map = lambda d: F.create_map(*[x for w, v in d.items() for x in (F.lit(w), v)])
-    table = lit_map({w: F.lit(v) for w, v in idf.items()})
-    rows = lit_map({w: F.array(*[F.lit(v.get(w, 0.0)) for _, v in vectors]) for w in idf})
-    none = F.array(*[F.lit(0.0) for _ in vectors])
-    names = F.array(*[F.lit(name) for name, _ in vectors])
-
-    def terms(ws):
-        weigh = lambda w: F.size(F.filter(ws, lambda x: x == w)) * F.coalesce(F.try_element_at(table, w), F.lit(unseen))
-        return F.transform(F.array_distinct(ws), lambda w: F.struct(w.alias("w"), weigh(w).alias("x")))
-
-    def score(ts):
-        norm = F.sqrt(F.aggregate(ts, F.lit(0.0), lambda a, t: a + t["x"] * t["x"]))
-        add = lambda a, t: F.zip_with(a, F.coalesce(F.try_element_at(rows, t["w"]), none), lambda s, y: s + t["x"] * y)
-        cosine = lambda d, n: F.round(F.coalesce(F.try_divide(d, norm), F.lit(0.0)), 6)
-        return F.array_max(F.zip_with(F.aggregate(ts, none, add), names, lambda d, n: F.struct(cosine(d, n).alias("score"), n.alias("license"))))
-
-    return _let(F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})")), lambda ws: _let(terms(ws), score))
+    idf_table = F.broadcast(spark.createDataFrame(list(idf.items()), "w string, idf double"))
+    rows = [(i, name, w, y) for i, (name, v) in enumerate(vectors) for w, y in v.items()]
+    template_table = F.broadcast(spark.createDataFrame(rows, "i int, license string, w string, y double"))
+    terms = lines.select("line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(f"({_WORD})"))).alias("w")).groupBy("line", "w").count()
+    terms = terms.join(idf_table, "w", "left").select("line", "w", (F.col("count") * F.coalesce("idf", F.lit(unseen))).alias("x"))
+    norms = terms.groupBy("line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = terms.join(template_table, "w").groupBy("line", "i", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scored = dots.join(norms, "line").select("line", F.struct(F.round(F.col("dot") / F.col("norm"), 6).alias("score"), "license").alias("best"))
+    return scored.where(F.col("best.score") >= threshold).groupBy("line").agg(F.max("best").alias("best"))
 
 
 def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -94,19 +87,25 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     own_*: the best template over all lines of the whole text that reach the threshold (of equal scores the later name).
     kind: 'file' for a licence file with a licence, 'header' for another file with a statement of its own, 'inherited'
     where the nearest ancestor directory with a licence file gives one, else 'none'. A null text or path is empty; an
-    empty text states nothing; several licence files in one directory give the best score's; repeated rows give
-    equal results; an empty table gives no rows. Lines without any anchor term cannot reach the threshold and aren't weighed.
+    empty text states nothing; several licence files in one directory give the best score's; rows that share doc_id and path are one
+    file, and each gets its result; an empty table gives no rows. Lines without any anchor term cannot reach the threshold and aren't weighed;
+    the others are weighed once for each distinct line.
     """
     idf, vectors, _ = _weights(templates)
-    anchors = "|".join(re.escape(a) for a in _anchors(vectors, idf))
-    anchored = rf"(?i)(^|[^a-z0-9])({anchors})([^a-z0-9]|$)"
-    f = files.select("doc_id", F.coalesce(F.col("path"), F.lit("")).alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text_"))
-    lines = F.filter(F.split("text_", "\n"), lambda line: line.rlike(anchored))
-    best = F.array_max(F.transform(lines, lambda line: best_template(line, templates)))
+    anchors = _anchors(vectors)
+    whole = "(^|[^a-z0-9])(" + "|".join(re.escape(a) for a in anchors) + ")([^a-z0-9]|$)"
+    path = F.coalesce(F.col("path"), F.lit("")).alias("path")
+    lower = F.lower("text")
+    held = files.select("doc_id", path, "text").where(reduce(lambda x, y: x | y, [F.contains(lower, F.lit(a)) for a in anchors]))
+    lines = held.select("doc_id", "path", F.explode(F.split("text", "\n")).alias("line")).where(F.lower("line").rlike(whole))
+    best = best_templates(lines.select("line").distinct(), templates, threshold)
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salt = F.pmod(F.coalesce(F.xxhash64("doc_id", "path"), F.lit(0)), F.lit(_SALTS)).cast("int").alias("salt")
+    own = lines.select("doc_id", "path", "line", salt).join(best, ["line", "salt"]).groupBy("doc_id", "path").agg(F.max("best").alias("best_"))
+    own = own.select(F.col("doc_id").alias("d_"), F.col("path").alias("p_"), "best_")
     name, dir_ = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/?[^/]*$", "")
-    f = f.withColumn("lines_", lines).select("doc_id", "path", name.alias("name_"), dir_.alias("dir_"), F.when(F.size("lines_") > 0, best).alias("best_"))
-    f = f.withColumn("best_", F.when(F.col("best_.score") >= threshold, F.col("best_"))).withColumn("is_file", F.col("name_").rlike(LICENSE_FILE))
-    return _inherit(f)
+    f = files.select("doc_id", path).join(own, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("path") == F.col("p_")), "left")
+    return _inherit(f.select("doc_id", "path", dir_.alias("dir_"), "best_", name.rlike(LICENSE_FILE).alias("is_file")))
 
 
 def _inherit(f: DataFrame) -> DataFrame:
@@ -141,7 +140,7 @@ def as_files(documents: DataFrame) -> DataFrame:
 
 def _oracle() -> str:
     idf, vectors, unseen = _weights(TEMPLATES)
-    anchors = "|".join(re.escape(a) for a in _anchors(vectors, idf))
+    anchors = "|".join(re.escape(a) for a in _anchors(vectors))
     idf_rows = ", ".join(f"('{w}', {v!r}::DOUBLE)" for w, v in idf.items())
     tpl_rows = ", ".join(f"({i}, '{name}', '{w}', {x!r}::DOUBLE)" for i, (name, v) in enumerate(vectors) for w, x in v.items())
     return rf"""
@@ -152,7 +151,7 @@ paths AS (SELECT doc_id, text, row_number() OVER () AS rid, CASE WHEN d % 1024 =
     ELSE top || '/' || CAST(d // 64 AS VARCHAR) || '/' || CAST(d AS VARCHAR) || '.txt' END AS path FROM files),
 f AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_replace(path, '/?[^/]*$', '') AS dir FROM paths),
 lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM f),
-picked AS (SELECT rid, line, row_number() OVER () AS lid FROM lines WHERE regexp_matches(line, '(?i)(^|[^a-z0-9])({anchors})([^a-z0-9]|$)')),
+picked AS (SELECT rid, line, row_number() OVER () AS lid FROM lines WHERE regexp_matches(lower(line), '(^|[^a-z0-9])({anchors})([^a-z0-9]|$)')),
 words AS (SELECT rid, lid, unnest(regexp_extract_all(lower(line), '{_WORD}')) AS w FROM picked),
 bags AS (SELECT rid, lid, words.w, count(*) * coalesce(any_value(idf), {unseen!r}::DOUBLE) AS x FROM words LEFT JOIN idf ON words.w = idf.w GROUP BY rid, lid, words.w),
 norms AS (SELECT lid, sqrt(sum(x * x)) AS norm FROM bags GROUP BY lid),
