@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataF
     heads = sorted((r["slice_"], None if r["nulls"] else r["m"]) for r in found)
     rows = [(m, heads[i - 1][0]) for i, (_, m) in enumerate(heads)]
     lent = docs.sparkSession.createDataFrame(rows, "m_ long, to_ int")
-    lent = base.join(lent, F.col("doc_id").eqNullSafe(F.col("m_"))).select("doc_id", "text_", F.col("to_").alias("slice_"), F.lit(1).alias("kind_"))
+    lent = base.join(F.broadcast(lent), F.col("doc_id").eqNullSafe(F.col("m_"))).select("doc_id", "text_", F.col("to_").alias("slice_"), F.lit(1).alias("kind_"))
     dealt = base.withColumn("kind_", F.lit(0)).unionByName(lent).repartition(max(1, len(heads)), "slice_")
     dealt = dealt.sortWithinPartitions("slice_", "kind_", F.col("doc_id").asc_nulls_first(), "text_")
     return dealt.select("slice_", "kind_", "doc_id", "text_").mapInArrow(_run, OUT)
