@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 
 SEQUENCE = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("kind", "text", "digest", "caption"))]))
 WIDTH = 64
-_SALTS = 16
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 _ATTR = re.compile(r"""([a-zA-Z\-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _BREAKS = {"p", "div", "figure", "figcaption", "li", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "tr", "blockquote", "pre", "br"}
@@ -125,15 +124,13 @@ def interleave(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def resolve(sequences: DataFrame, described: DataFrame) -> DataFrame:
-    """Explode items of sequences and join each media reference to its row of described (one per digest), salted by row.
+    """Explode items of sequences and join each media reference to its row of described (one per digest).
 
-    Positions and captions stay on the item; a reference without a payload keeps nulls.
+    Positions and captions stay on the item; a reference without a payload keeps nulls. A payload that many pages show has many small
+    references and one row here: adaptive execution splits the former and repeats the latter.
     """
     refs = sequences.select("*", F.explode_outer("items").alias("item")).drop("items")
-    salt = F.pmod(F.xxhash64(*[c for c in refs.columns if c != "item"]), F.lit(_SALTS)).cast("int")
-    refs = refs.withColumn("digest", F.col("item.digest")).withColumn("salt_", salt)
-    wide = described.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return refs.join(wide, ["digest", "salt_"], "left").drop("salt_")
+    return refs.withColumn("digest", F.col("item.digest")).join(described, "digest", "left")
 
 
 def describe(media: DataFrame) -> DataFrame:
