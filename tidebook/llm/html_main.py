@@ -25,12 +25,14 @@ _TOKEN = re.compile(
 )
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _MARKS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-#: Words in class, id or role that mark parts beside the article.
-_BESIDE = re.compile(
-    r"(?:^|[\s\"'_\-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav|navigation|navbar|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|related|recommend\w*|share|social"
-    r"|comments?|commentlist|respond|replies|cookie\w*|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|search|pagination|pager|toc|skip\w*|contentinfo|complementary|dialog)(?:$|[\s\"'_\-\d])",
-    re.I,
+#: Parts of names in class, id or role that mark a part beside the article, those of reader comments apart.
+_BESIDE = frozenset(
+    "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navigation navbar menu breadcrumb breadcrumbs masthead footer sidebar aside widget widgets related recommended recommendations"
+    " share sharing social cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login search pagination pager toc skip contentinfo complementary dialog".split()
 )
+_COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
+_SITE_HEADERS = frozenset("header site-header page-header top-header main-header global-header".split())
+_NEGATED = frozenset("has with no without not is".split())
 _BESIDE_TAGS = frozenset("nav aside footer form button head menu dialog".split())
 _BLOCKS = frozenset("p div article section main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary hr body html head title center menu dialog".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +41,34 @@ _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 _WORD = re.compile(r"\S+")
 
 
+def _mark(tag: str) -> str | None:
+    """'comments', 'beside' or None, by the names in class, id and role of a tag."""
+    found = None
+    for value in _MARKS.findall(tag):
+        for name in value.strip("\"'").lower().split():
+            parts = re.split(r"[-_]+", name)
+            if parts[0] in _NEGATED:
+                continue
+            if parts[0] in _COMMENTS or parts[-1] in _COMMENTS:
+                return "comments"
+            if parts[0] in _BESIDE or parts[-1] in _BESIDE or name in _SITE_HEADERS:
+                found = "beside"
+    return found
+
+
+class _Marked:
+    """An element that its tag or names mark as beside the article, and what it turned out to hold."""
+
+    def __init__(self, kind: str, parent: _Marked | None):
+        self.kind, self.parent, self.words, self.article = kind, parent, 0, False
+
+    def counts(self, total: int) -> bool:
+        """Whether it is left out. One that holds an article isn't; nor is a form or a named part that holds half of the page's words."""
+        if self.parent is not None and self.parent.counts(total):
+            return True
+        return not self.article and (self.kind in ("comments", "tag") or 2 * self.words < total)
+
+
 def tokens(page: str | None) -> list[tuple]:
     """(kind, key, value, beside, labelled) of every token.
 
@@ -46,40 +76,68 @@ def tokens(page: str | None) -> list[tuple]:
     as not the article. labelled: inside an article or main element.
     """
     out: list[tuple] = []
-    stack: list[tuple[str, bool]] = []  # open elements: name, marked as beside
+    # Open elements: name, innermost marked element, whether inside an article, nearest block's name, whether inside a link.
+    stack: list[tuple[str, _Marked | None, bool, str, str]] = [("", None, False, "none", "")]
+    open_names: Counter = Counter()
+    total = 0
+
+    def shut(at: int) -> None:
+        for entry in stack[at:]:
+            open_names[entry[0]] -= 1
+        del stack[at:]
+
+    def nearest_block() -> int:
+        at = len(stack) - 1
+        while at and stack[at][0] not in _BLOCKS:
+            at -= 1
+        return at
+
     for m in _TOKEN.finditer(page or ""):
         tok = m[0]
+        _, marked, inside, block, link = stack[-1]
         if tok[0] != "<" or len(tok) == 1:
-            names = [n for n, _ in stack]
-            beside = any(b for _, b in stack)
-            block = next((n for n in reversed(names) if n in _BLOCKS and n not in ("article", "main", "section")), "none")
-            link = "a" if "a" in names else ""
-            out.append(("w", (block, link), tok, beside, "article" in names or "main" in names))
+            n = len(_WORD.findall(tok))
+            over = marked
+            while over is not None:
+                over.words += n
+                over = over.parent
+            total += n if not open_names["head"] else 0
+            out.append(("w", (block, link), tok, marked, inside))
             continue
         if m[1] or tok[1] in "!?":
             continue
-        name, beside_closed = _NAME.match(tok)[1].lower(), False
+        name = _NAME.match(tok)[1].lower()
         if tok[1] == "/":
-            beside_closed = any(b for _, b in stack)
-            if any(n == name for n, _ in stack):
-                while stack and stack.pop()[0] != name:
-                    pass
-        elif name not in _VOID:
-            if name in _ENDS_P:
-                # A new block ends an open paragraph, and inline elements left open in it.
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _BLOCKS), None)
-                if at is not None and stack[at][0] == "p":
-                    del stack[at:]
-                over = _IMPLIED.get(name)
-                if over:
-                    at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _BLOCKS), None)
-                    if at is not None and stack[at][0] in over:
-                        del stack[at:]
-            inside = any(n in ("article", "main") for n, _ in stack)
-            marks = " ".join(x.strip("\"'") for x in _MARKS.findall(tok)) if "=" in tok else ""
-            beside = name in _BESIDE_TAGS or (name == "header" and not inside) or (name not in ("html", "body", "article", "main") and bool(marks) and bool(_BESIDE.search(marks)))
-            stack.append((name, beside))
-        out.append(("t", ("/" if tok[1] == "/" else "") + name, tok, any(b for _, b in stack) or beside_closed, any(n in ("article", "main") for n, _ in stack)))
+            out.append(("t", "/" + name, tok, marked, inside))
+            if open_names[name] > 0:
+                shut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
+            continue
+        if name not in _VOID:
+            # A new block ends an open paragraph, and a new item the open item; inline elements left open end with them.
+            ends = ({"p"} if name in _ENDS_P else set()) | _IMPLIED.get(name, set())
+            at = nearest_block()
+            while ends and at and stack[at][0] in ends:
+                shut(at)
+                at = nearest_block()
+            _, marked, inside, block, link = stack[-1]
+            if name in ("article", "main"):
+                inside, over = True, marked
+                while over is not None:
+                    over.article = True
+                    over = over.parent
+            elif name in _BESIDE_TAGS or (name == "header" and not inside):
+                marked = _Marked("form" if name == "form" else "tag", marked)
+            elif name not in ("html", "body") and "=" in tok and (kind := _mark(tok)):
+                marked = _Marked(kind, marked)
+            if name in _BLOCKS and name not in ("article", "main", "section"):
+                block = name
+            stack.append((name, marked, inside, block, "a" if name == "a" else link))
+            open_names[name] += 1
+        out.append(("t", name, tok, marked, inside))
+    known: dict[int, bool] = {}
+    for i, (kind, key, value, marked, inside) in enumerate(out):
+        beside = marked is not None and known.setdefault(id(marked), marked.counts(total))
+        out[i] = (kind, key, value, beside, inside)
     return out
 
 
@@ -87,7 +145,7 @@ class Weights:
     """Score of a word by its context and of a tag by its name; tags never score above TAG_MOST."""
 
     TAG_MOST = -0.05
-    WORD_ELSE, TAG_ELSE, MARKED = 1.0, -1.0, -2.0
+    WORD_ELSE, TAG_ELSE, MARKED = 1.0, -0.3, -1.0
 
     def __init__(self, words: dict, tags: dict):
         self.words, self.tags = words, tags
