@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import cut
+
 #: Licence name and the wording of its usual header or reference.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -29,10 +31,10 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 #: Cosine from which a line or licence file counts as stating a template's licence.
-THRESHOLD = 0.75
+THRESHOLD = 0.77
 #: Directory names of files that license their directory.
 LICENSE_FILE = r"^(LICEN[SC]E|COPYING|NOTICE)(\.(txt|md))?$"
-_WORD = r"[a-z0-9][a-z0-9.+]*[a-z0-9+]|[a-z0-9]"
+_WORD = r"[a-z0-9][a-z0-9.+\-]*[a-z0-9+]|[a-z0-9]"
 _SALTS = 16
 
 
@@ -50,11 +52,12 @@ def _weights(templates) -> tuple[dict[str, float], list[tuple[str, dict[str, flo
 
 
 def _anchors(vectors) -> list[str]:
-    """For each template its longest terms, enough that a line with none of them stays under the threshold."""
+    """For each template the terms that common text has least, by their form: those with a dot or dash, then the longest; enough that a line with none of
+    them stays under the threshold."""
     out: set[str] = set()
     for _, v in vectors:
         left = 1.0
-        for w in sorted(v, key=lambda w: (-len(w), -v[w], w)):
+        for w in sorted(v, key=lambda w: (w.isalnum(), -len(w), -v[w], w)):
             if math.sqrt(max(left, 0.0)) < THRESHOLD:
                 break
             out.add(w)
@@ -97,7 +100,10 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     path = F.coalesce(F.col("path"), F.lit("")).alias("path")
     lower = F.lower("text")
     held = files.select("doc_id", path, "text").where(reduce(lambda x, y: x | y, [F.contains(lower, F.lit(a)) for a in anchors]))
-    lines = held.select("doc_id", "path", F.explode(F.split("text", "\n")).alias("line")).where(F.lower("line").rlike(whole))
+    lines = held.select("doc_id", "path", F.explode(F.split("text", "\n")).alias("line"))
+    lower = F.lower("line")
+    # A plain search leaves few lines to the pattern; what passes is small and is read twice.
+    lines = cut(lines.where(reduce(lambda x, y: x | y, [F.contains(lower, F.lit(a)) for a in anchors])).where(lower.rlike(whole)))
     best = best_templates(lines.select("line").distinct(), templates, threshold)
     best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     salt = F.pmod(F.coalesce(F.xxhash64("doc_id", "path"), F.lit(0)), F.lit(_SALTS)).cast("int").alias("salt")
