@@ -15,6 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import small
 from .wordhash import mix, shingles
 
 SHINGLE = 5
@@ -121,16 +122,14 @@ def _run(batches):
                 out[n].append(v)
         return pa.RecordBatch.from_pydict(out, schema=pa.schema(list(zip(names, types, strict=True))))
 
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            s, k, ids, texts = (part.column(i).to_pylist() for i in range(4))
-            rows = []
-            for slice_, kind, doc_id, text, h in zip(s, k, ids, texts, shingles(texts, SHINGLE), strict=True):
-                sig = signature(h)
-                if prior is not None and prior[0] == slice_:
-                    rows.append((*prior[1:], text, sig))
-                # A lent row only ends its slice.
-                prior = None if kind else (slice_, doc_id, text, sig)
-            if rows:
-                yield emit(rows)
+    for b in small(batches, 500):
+        s, k, ids, texts = (b.column(i).to_pylist() for i in range(4))
+        rows = []
+        for slice_, kind, doc_id, text, h in zip(s, k, ids, texts, shingles(texts, SHINGLE), strict=True):
+            sig = signature(h)
+            if prior is not None and prior[0] == slice_:
+                rows.append((*prior[1:], text, sig))
+            # A lent row only ends its slice.
+            prior = None if kind else (slice_, doc_id, text, sig)
+        if rows:
+            yield emit(rows)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import small
+
 #: Pages to learn weights from, at most (expected); chosen by hash over the whole table.
 TRAINING_PAGES = 1500
 OUT = "page_id long, url string, text string, n_chars long"
@@ -248,7 +250,7 @@ def main_text(pages: DataFrame, weights: Weights) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             text = [extract(h, shared.value) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import components, cut, release
+from .staging import components, cut, release, small
 from .wordhash import mix, shingles
 
 SHINGLE = 4
@@ -121,7 +121,7 @@ def _set_columns(percent: int, full: bool):
     bands = Bands(percent)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             ids, ns, s1, s2, offs, keys, points = [], [], [], [], [0], [], []
             for i, h in zip(b.column(0).to_pylist(), shingles(b.column(1).to_pylist(), SHINGLE), strict=True):
                 u = np.unique(h)
@@ -173,7 +173,7 @@ def _grouped(batches, width: int, links):
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     held, key = [], None
-    for b in batches:
+    for b in small(batches):
         found = []
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if row[:width] != key:
@@ -242,7 +242,7 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     p = p.join(pts.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), "b")
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             keep = []
             for na, xa, nb, xb in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 x, y = np.frombuffer(xa, "<i4"), np.frombuffer(xb, "<i4")
@@ -269,7 +269,7 @@ def _verified(clusters: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     dealt = m.join(ends, ["c", "node"]).select("c", "i", "j", "rid")
 
     def sets(batches):
-        for b in batches:
+        for b in small(batches):
             found = [np.unique(h).astype("<u8").tobytes() for h in shingles(b.column(1).to_pylist(), SHINGLE)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["rid", "s"])
 

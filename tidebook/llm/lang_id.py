@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import small
+
 #: Training rows of each language, at most (expected); chosen by hash over the whole table.
-ROWS_PER_LANGUAGE = 1200
-TABLE = 1 << 15
+ROWS_PER_LANGUAGE = 1000
+TABLE = 1 << 15  # at most 1 << 16: rows are kept as 16-bit numbers
 DIM = 16
 EPOCHS = 4
 RATE = 0.5
@@ -24,7 +26,7 @@ ACCEPTED_ERROR = 0.02
 THRESHOLD_RANGE = (0.3, 0.9)
 UNKNOWN = "und"
 OUT = "doc_id long, lang_pred string, score double, rejected boolean"
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _LETTER: list[np.ndarray] = []
 
 
@@ -66,7 +68,7 @@ def subwords(texts: list[str | None]):
             h[1:-1] = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0x165667B19E3779F9)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        h = (h >> np.uint64(64 - TABLE.bit_length() + 1)).astype(np.int32)
+        h = (h >> np.uint64(64 - TABLE.bit_length() + 1)).astype(np.uint16)
         middle = np.zeros(len(c), bool)
         middle[1:-1] = c[1:-1] != 0
         for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
@@ -176,7 +178,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in small(batches):
             found = [m.predict(g) for g in subwords(b.column(1).to_pylist())]
             cols = [b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols + [b.column(i) for i in range(2, b.num_columns)], names=["doc_id", "lang_pred", "score", "rejected", *keep])

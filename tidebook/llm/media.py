@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import small
+
 SEQUENCE = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("kind", "text", "digest", "caption"))]))
 WIDTH = 64
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
@@ -116,7 +118,7 @@ def interleave(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     def run(batches):
         kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
-        for b in batches:
+        for b in small(batches):
             found = [interleave_html(h) for h in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, "items"])
 
@@ -137,7 +139,7 @@ def describe(media: DataFrame) -> DataFrame:
     """Read stored media (digest, n_bytes, media) back and describe each payload."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             out = {k: [] for k in ("digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             for digest, n, stored in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 samples = decode_png(stored)
@@ -154,7 +156,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """(digest, n_bytes, media): every distinct whole text as a PNG of its UTF-8 bytes, padded with 0 to a positive multiple of 64."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             out = {"digest": [], "n_bytes": [], "media": []}
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = t.encode("utf-8")

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .staging import small
+
 LONGEST = 2048
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -35,7 +37,7 @@ def _encoder(path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
-        slow = Tokenizer.from_file(path)
+        slow: list = []  # loaded only for a text that needs it
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         added = [t["content"] for t in spec.get("added_tokens", [])]
@@ -47,7 +49,9 @@ def _encoder(path: str):
 
         def encode(text: str) -> np.ndarray:
             if any(a in text for a in added):
-                return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+                if not slow:
+                    slow.append(Tokenizer.from_file(path))
+                return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
             return np.array(fast.encode_ordinary(text), np.uint32)
 
         _loaded[path] = lambda texts: [encode(t) for t in texts]
@@ -168,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = END_ID, ste
                     out[n].append(v)
             return pa.RecordBatch.from_pydict(out, schema=schema)
 
-        for b in batches:
+        for b in small(batches):
             doc_ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             at = 0
             while at < len(texts):

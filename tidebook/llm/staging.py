@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.staging import cut, ensure_checkpoint_dir
 
-__all__ = ["components", "cut", "ensure_checkpoint_dir", "release"]
+__all__ = ["components", "cut", "ensure_checkpoint_dir", "release", "small"]
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -52,3 +52,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files that no table refers to any more; it does so when the driver collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def small(batches, rows: int = 1000):
+    """Arrow batches in slices of at most so many rows, so that a worker turns few of them into Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import small
+
 #: Labelled rows of each class to learn from, at most (expected); chosen by hash over the whole table.
-ROWS_PER_CLASS = 2500
+ROWS_PER_CLASS = 2000
 THRESHOLD = 0.7
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
 #: A word joins the lexicon when so many toxic texts have it, or this share of them, and so many times likelier than other texts.
@@ -80,9 +82,16 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> dict[str, float]:
     A toxic text counts for a word once for each word that is new before it, so that copies of one text count as one; other texts count
     as they are. A word needs LEXICON_SHARE of the toxic texts, and LEXICON_DOCS at least.
     """
-    before: dict[str, set] = {}
-    plain = Counter()
     toxic = sum(labels)
+    least = max(LEXICON_DOCS, LEXICON_SHARE * toxic)
+    count = Counter()
+    for t, y in zip(texts, labels, strict=True):
+        if y:
+            count.update(set(words(t)))
+    # What follows is gathered for candidates only, which are few.
+    before: dict[str, set] = {w: set() for w, k in count.items() if k >= least and len(w) > 2}
+    del count
+    plain = Counter()
     for t, y in zip(texts, labels, strict=True):
         toks = words(t)
         if y:
@@ -90,15 +99,15 @@ def learn_lexicon(texts: list[str], labels: list[int]) -> dict[str, float]:
             for prev, w in zip(["", *toks], toks, strict=False):
                 first.setdefault(w, prev)
             for w, prev in first.items():
-                before.setdefault(w, set()).add(prev)
+                if w in before:
+                    before[w].add(prev)
         else:
-            plain.update(set(toks))
+            plain.update(before.keys() & set(toks))
     out = {}
-    least = max(LEXICON_DOCS, LEXICON_SHARE * toxic)
     for w, seen in before.items():
         k = len(seen)
         odds = (k + 0.5) / (toxic + 1) / ((plain[w] + 0.5) / (len(labels) - toxic + 1))
-        if k >= least and len(w) > 2 and odds >= LEXICON_ODDS:
+        if k >= least and odds >= LEXICON_ODDS:
             out[w] = math.log(odds)
     return out
 
@@ -234,7 +243,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), threshold:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             s = shared.value.scores(b.column(1).to_pylist())
             cols = [b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays(cols + [b.column(i) for i in range(2, b.num_columns)], names=["doc_id", "score", "predicted", *keep])
