@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import functions as F
 from test_book import A, P, frame, random_events
 
 from tidebook.operators import book, snapshots, views
@@ -37,10 +38,58 @@ def test_stream_equals_batch(spark, tmp_path):
         df.where(f"ord > {i * 200} and ord <= {(i + 1) * 200}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     rows = []
-    q = stream_books(stream).writeStream.foreachBatch(lambda b, i: rows.extend(b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = stream_books(stream).writeStream.foreachBatch(lambda b, i: rows.extend(b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(180)
     state = {}
     for r in rows:
         state[r["instrument_id"], r["side"], r["price"]] = r["qty"] if r["exists"] else None
     want = {(r["instrument_id"], r["side"], r["price"]): r["qty"] for r in book.levels(df).collect()}
     assert {k: v for k, v in state.items() if v is not None} == want
+
+
+def test_json_stream_is_routed_into_books(spark, tmp_path):
+    from test_sources import line
+
+    from tidebook.operators import routing
+    from tidebook.sources import events as ev
+    from tidebook.streaming.sources import stream_json, stream_route
+
+    rng = random.Random(12)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    seq, known = 0, []
+    for f in range(3):
+        lines = []
+        for _ in range(60):
+            seq += 1
+            if known and rng.random() < 0.4:
+                order, instrument, action = rng.choice(known), 0, rng.choice("CM")
+            else:
+                order, instrument, action = seq, rng.randrange(1, 4), "A"
+                known.append(order)
+            text = line(action=action, side=rng.choice("BS"), price=f'"{rng.randrange(1, 5)}.5"', size=str(rng.randrange(9)), order=str(order))
+            lines.append(text.replace('"instrument_id":436', f'"instrument_id":{instrument}').replace('"sequence":120067', f'"sequence":{seq}'))
+        (folder / f"{f}.mbo.json").write_text("\n".join(lines) + "\n")
+    rows = []
+    stream = stream_books(stream_route(stream_json(spark, str(folder), 1)))
+    q = stream.writeStream.foreachBatch(lambda b, i: rows.extend(b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    state = {}
+    for r in rows:
+        state[r["instrument_id"], r["side"], r["price"]] = r["qty"] if r["exists"] else None
+    batch = ev.read_events(spark, str(folder), "json").withColumn("ord", F.col("sequence"))
+    want = {(r["book"], r["side"], r["price"]): r["qty"] for r in book.levels(routing.resolve_instrument(batch), ["book"], order_id="order_key").collect()}
+    assert want and {k: v for k, v in state.items() if v is not None} == want
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from test_sources import line
+
+    from tidebook import __main__ as cli
+
+    (tmp_path / "a.mbo.json").write_text("\n".join(line(order=str(i + 1), side="BS"[i % 2], price=f'"{i % 2 + 1}.0"') for i in range(6)) + "\n")
+    texts = list(cli.report(spark, str(tmp_path), every=4))
+    assert texts[0] == "\n=== Snapshot at 4 events ===\n// 436\n// BUY\n  [1000000000, 1000000000] : 40\n// SELL\n  [2000000000, 2000000000] : 40\n===============================\n\n"
+    assert texts[1].startswith("Total messages processed : 6\n")
+    assert texts[2] == "\n// ====== Final Best Bid/Ask ======\nInstrument 436:\n  Best Bid: 1000000000 x 60\n  Best Ask: 2000000000 x 60\n// ====== End Best Bid/Ask ======\n"
+    assert cli.main([]) == 2

@@ -85,4 +85,4 @@ def stream_books(events: DataFrame) -> DataFrame:
     session's state store provider.
     """
     cols = events.selectExpr("instrument_id", "ord", "cast(order_id as long) order_id", "action", "cast(side as int) side", "price", "size")
-    return cols.groupBy("instrument_id").transformWithStateInPandas(statefulProcessor=BookProcessor(), outputStructType=OUT, outputMode="Update", timeMode="None")
+    return cols.groupBy("instrument_id").transformWithStateInPandas(statefulProcessor=BookProcessor(), outputStructType=OUT, outputMode="Append", timeMode="None")
