@@ -20,11 +20,15 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str, **types: str):
+    """Register a query with its SQL; types: columns whose type the SQL gets by a cast."""
+    if types:
+        casts = ", ".join(f"CAST(\"{c}\" AS {t}) AS \"{c}\"" for c, t in types.items())
+        sql = f"SELECT * REPLACE ({casts}) FROM ({sql}) typed"
+
     def keep(f):
         QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
+        ORACLE[f.__name__] = sql
         return f
 
     return keep
@@ -68,12 +72,12 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- books and their views -------------------------------------------------------------------------------------------
 
 
-@query(_levels_sql("SELECT * FROM lv"))
+@query(_levels_sql("SELECT * FROM lv"), side='TINYINT')
 def book_levels(spark, sf_dir):
     return _levels(spark, sf_dir)
 
 
-@query(_levels_sql(", e6 AS (SELECT *, coalesce(CASE WHEN valid THEN 1 WHEN action = 'C' AND size = 0 THEN 0 END, CAST(tracked AS INT)) AS t, coalesce(ws, ps) AS s, coalesce(wp, pp) AS p, coalesce(wz, pz) AS z FROM e5 WHERE ep = mep) SELECT b AS instrument_id, order_id, arg_max(s, ord) AS side, arg_max(p, ord) AS price, arg_max(z, ord) AS size FROM e6 GROUP BY b, order_id HAVING arg_max(t, ord) = 1"))
+@query(_levels_sql(", e6 AS (SELECT *, coalesce(CASE WHEN valid THEN 1 WHEN action = 'C' AND size = 0 THEN 0 END, CAST(tracked AS INT)) AS t, coalesce(ws, ps) AS s, coalesce(wp, pp) AS p, coalesce(wz, pz) AS z FROM e5 WHERE ep = mep) SELECT b AS instrument_id, order_id, arg_max(s, ord) AS side, arg_max(p, ord) AS price, arg_max(z, ord) AS size FROM e6 GROUP BY b, order_id HAVING arg_max(t, ord) = 1"), side='TINYINT')
 def live_orders(spark, sf_dir):
     return book.live_orders(derived.mbo_events(spark, sf_dir))
 
@@ -100,7 +104,7 @@ def book_empty(spark, sf_dir):
     return out.select("instrument_id", *[F.col(c).cast("int").alias(c) for c in ("bid_empty", "ask_empty", "both_empty")])
 
 
-@query(_levels_sql("SELECT *, row_number() OVER (PARTITION BY instrument_id, side ORDER BY -side * price) AS level_rank FROM lv"))
+@query(_levels_sql("SELECT *, row_number() OVER (PARTITION BY instrument_id, side ORDER BY -side * price) AS level_rank FROM lv"), side='TINYINT', level_rank='INTEGER')
 def depth(spark, sf_dir):
     return views.depth(_levels(spark, sf_dir))
 
@@ -108,7 +112,7 @@ def depth(spark, sf_dir):
 _GROUPED = "g1 AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY -side * price) AS rk, count(*) OVER (PARTITION BY {k}) AS n FROM {src}), g2 AS (SELECT *, (rk - 1) // ((n + 4) // 5) AS bucket FROM g1) SELECT {k}, bucket, arg_min(price, rk) AS first_price, arg_max(price, rk) AS last_price, CAST(sum(qty) AS BIGINT) AS qty FROM g2 GROUP BY {k}, bucket"
 
 
-@query(_levels_sql(", " + _GROUPED.format(k="instrument_id, side", src="lv")))
+@query(_levels_sql(", " + _GROUPED.format(k="instrument_id, side", src="lv")), side='TINYINT', bucket='INTEGER')
 def depth_grouped(spark, sf_dir):
     return views.grouped_depth(_levels(spark, sf_dir), GROUPS)
 
@@ -121,7 +125,7 @@ def bbo_final(spark, sf_dir):
     return views.bbo(_levels(spark, sf_dir))
 
 
-@query(_levels_sql(f"SELECT *, instrument_id % {SHARDS} AS shard FROM ({_BBO})"))
+@query(_levels_sql(f"SELECT *, instrument_id % {SHARDS} AS shard FROM ({_BBO})"), shard='INTEGER')
 def bbo_sharded(spark, sf_dir):
     e = routing.resolve_instrument(derived.mbo_events(spark, sf_dir), shards=SHARDS, key="order_id")
     lv = book.levels(e.select("ord", "order_id", "action", "side", "price", "size", "book", "shard"), ["shard", "book"])
@@ -133,7 +137,7 @@ def bbo_sharded(spark, sf_dir):
 cuts AS (SELECT ord AS cut_ord, rank AS cut FROM rk WHERE rank % {SNAPSHOT_EVERY} = 0),
 eps AS (SELECT cut, cut_ord, b, max(ep) AS cep FROM cuts JOIN e1 ON e1.ord <= cut_ord GROUP BY ALL),
 st AS (SELECT cut, r2.b AS instrument_id, s AS side, p AS price, arg_max(q, ord * 2 + sub) AS qty FROM eps JOIN r2 ON r2.b = eps.b AND r2.ep = eps.cep AND r2.ord <= cut_ord GROUP BY ALL HAVING arg_max(q > 0 OR sub = 1, ord * 2 + sub)), """
-                   + _GROUPED.format(k="cut, instrument_id, side", src="st")))
+                   + _GROUPED.format(k="cut, instrument_id, side", src="st")), side='TINYINT', bucket='INTEGER')
 def snapshot_every_n(spark, sf_dir):
     return snapshots.snapshots(derived.mbo_events(spark, sf_dir), SNAPSHOT_EVERY, GROUPS)
 
@@ -158,7 +162,7 @@ def route(spark, sf_dir):
     return routing.resolve_instrument(_zeroed(spark, sf_dir), on_unresolved="drop", key="order_id").select("ord", "order_id", "book")
 
 
-@query(_ROUTED + f"SELECT ord, order_id, book, coalesce(nullif(instrument_id, 0), book) % {SHARDS} AS shard FROM r WHERE book IS NOT NULL")
+@query(_ROUTED + f"SELECT ord, order_id, book, coalesce(nullif(instrument_id, 0), book) % {SHARDS} AS shard FROM r WHERE book IS NOT NULL", shard='INTEGER')
 def route_sharded(spark, sf_dir):
     e = routing.resolve_instrument(_zeroed(spark, sf_dir), on_unresolved="drop", shards=SHARDS, key="order_id")
     return routing.shard(e.select("ord", "order_id", "book", "shard"), SHARDS)
@@ -206,13 +210,13 @@ def _text_ids(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) if c == "order_id" else F.col(c) for c in ev.EVENT_COLUMNS if c != "order_key"])
 
 
-@query(f"WITH {_MBO} SELECT {_CANON_COLS} FROM mbo")
+@query(f"WITH {_MBO} SELECT {_CANON_COLS} FROM mbo", channel_id='INTEGER', side='TINYINT', rtype='SMALLINT', flags='SMALLINT')
 def scan_json(spark, sf_dir):
     lines = ev.to_json_lines(derived.canonical(derived.mbo_events(spark, sf_dir)))
     return _text_ids(ev.good(ev.decode_lines(lines)))
 
 
-@query(f"WITH {_MBO} SELECT {_CANON_COLS} FROM mbo")
+@query(f"WITH {_MBO} SELECT {_CANON_COLS} FROM mbo", channel_id='INTEGER', side='TINYINT', rtype='SMALLINT', flags='SMALLINT')
 def convert(spark, sf_dir):
     lines = ev.to_json_lines(derived.canonical(derived.mbo_events(spark, sf_dir)))
     ensure_checkpoint_dir(spark)
@@ -261,7 +265,7 @@ def _letters(spark, sf_dir):
     return derived.mbo_events(spark, sf_dir).select("ord", F.array(*[F.lit(x) for x in _LETTERS])[(F.col("k") % len(_LETTERS)).cast("int")].alias("letter"))
 
 
-@query(f"WITH {_MBO} SELECT ord, CASE substr(l, 1, 1) WHEN 'B' THEN 1 WHEN 'S' THEN -1 WHEN 'A' THEN -1 ELSE 0 END AS side FROM (SELECT ord, ({_LETTERS_SQL})[k % {len(_LETTERS)} + 1] AS l FROM mbo)")
+@query(f"WITH {_MBO} SELECT ord, CASE substr(l, 1, 1) WHEN 'B' THEN 1 WHEN 'S' THEN -1 WHEN 'A' THEN -1 ELSE 0 END AS side FROM (SELECT ord, ({_LETTERS_SQL})[k % {len(_LETTERS)} + 1] AS l FROM mbo)", side='TINYINT')
 def codec_side(spark, sf_dir):
     return _letters(spark, sf_dir).select("ord", codecs.side_code(F.col("letter")).alias("side"))
 
@@ -280,7 +284,7 @@ def price_defined(spark, sf_dir):
 _FLAG_SQL = ", ".join(f"CAST(flags & {b} <> 0 AS INT) AS {n.lower()}" for b, n in codes.FLAGS)
 
 
-@query(f"WITH {_MBO}, f AS (SELECT ord, (k * 37) % 256 AS flags, (k * 11) % 256 AS other FROM mbo) SELECT ord, {_FLAG_SQL}, flags | other AS either, flags & other AS both, 255 - flags AS inverse FROM f")
+@query(f"WITH {_MBO}, f AS (SELECT ord, (k * 37) % 256 AS flags, (k * 11) % 256 AS other FROM mbo) SELECT ord, {_FLAG_SQL}, flags | other AS either, flags & other AS both, 255 - flags AS inverse FROM f", either='INTEGER', both='INTEGER', inverse='INTEGER')
 def flags_decode(spark, sf_dir):
     f = derived.mbo_events(spark, sf_dir).select("ord", (F.col("k") * 37 % 256).cast("int").alias("flags"), (F.col("k") * 11 % 256).cast("int").alias("other"))
     bits = [codecs.has_flag(F.col("flags"), b).cast("int").alias(n.lower()) for b, n in codes.FLAGS]
@@ -290,7 +294,7 @@ def flags_decode(spark, sf_dir):
 _RTYPE_SQL = ", ".join(f"({c}, '{n}')" for c, n in codes.RTYPE)
 
 
-@query(f"WITH {_MBO}, t(code, name) AS (VALUES {_RTYPE_SQL}), r AS (SELECT k * 5 % 256 AS code, count(*) AS n FROM mbo GROUP BY 1) SELECT r.code, t.name, r.n FROM r LEFT JOIN t USING (code)")
+@query(f"WITH {_MBO}, t(code, name) AS (VALUES {_RTYPE_SQL}), r AS (SELECT k * 5 % 256 AS code, count(*) AS n FROM mbo GROUP BY 1) SELECT r.code, t.name, r.n FROM r LEFT JOIN t USING (code)", code='INTEGER')
 def rtype_lookup(spark, sf_dir):
     r = derived.mbo_events(spark, sf_dir).groupBy((F.col("k") * 5 % 256).cast("int").alias("code")).agg(F.count("*").alias("n"))
     return r.join(F.broadcast(codes.table(spark, "rtype")), "code", "left").select("code", "name", "n")
@@ -303,7 +307,7 @@ def json_extract(spark, sf_dir):
     return e.select("event_id", codecs.json_text(p, "$.k").alias("k_text"), codecs.json_kind(p, "$.k").alias("k_kind"), codecs.json_text(p, "$.none").alias("missing"), codecs.json_kind(p, "$.none").alias("missing_kind"))
 
 
-@query(f"WITH {_MBO} SELECT ord, CASE WHEN k % 5 = 0 THEN 0 ELSE size END AS size, CASE WHEN k % 7 = 0 THEN 0 ELSE order_id END AS order_id, CASE WHEN k % 3 <> 0 THEN price END AS price, CASE WHEN k % 11 = 0 THEN 'N' ELSE action END AS action, 0 AS flags FROM mbo")
+@query(f"WITH {_MBO} SELECT ord, CASE WHEN k % 5 = 0 THEN 0 ELSE size END AS size, CASE WHEN k % 7 = 0 THEN 0 ELSE order_id END AS order_id, CASE WHEN k % 3 <> 0 THEN price END AS price, CASE WHEN k % 11 = 0 THEN 'N' ELSE action END AS action, 0 AS flags FROM mbo", flags='SMALLINT')
 def defaults(spark, sf_dir):
     raw = derived.mbo_events(spark, sf_dir)
     k = F.col("k")
