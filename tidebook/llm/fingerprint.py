@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import small
+from .staging import short_batches, small
 from .wordhash import mix, shingles
 
 SHINGLE = 5
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataF
     lent = base.join(F.broadcast(lent), F.col("doc_id").eqNullSafe(F.col("m_"))).select("doc_id", "text_", F.col("to_").alias("slice_"), F.lit(1).alias("kind_"))
     dealt = base.withColumn("kind_", F.lit(0)).unionByName(lent).repartition(max(1, len(heads)), "slice_")
     dealt = dealt.sortWithinPartitions("slice_", "kind_", F.col("doc_id").asc_nulls_first(), "text_")
-    return dealt.select("slice_", "kind_", "doc_id", "text_").mapInArrow(_run, OUT)
+    return short_batches(dealt).select("slice_", "kind_", "doc_id", "text_").mapInArrow(_run, OUT)
 
 
 def _run(batches):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import small
+from .staging import short_batches, small
 
 #: Pages to learn weights from, at most (expected); chosen by hash over the whole table.
 TRAINING_PAGES = 1500
@@ -254,4 +254,4 @@ def main_text(pages: DataFrame, weights: Weights) -> DataFrame:
             text = [extract(h, shared.value) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, OUT)
+    return short_batches(pages).select("page_id", "url", "html").mapInArrow(run, OUT)

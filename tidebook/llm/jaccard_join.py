@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import components, cut, release, small
+from .staging import components, cut, release, short_batches, small
 from .wordhash import mix, shingles
 
 SHINGLE = 4
@@ -292,7 +292,7 @@ def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     block's R-tree. Both only yield links that join components, so a block or cluster of n texts never gives more than n - 1 rows.
     """
     spark: SparkSession = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    texts = short_batches(docs).select("doc_id", "text")
     full = texts.mapInArrow(_set_columns(percent, True), "doc_id long, n long, s1 long, s2 long, keys array<long>, point binary")
     reps = full.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rid"), F.first("keys").alias("keys"), F.first("point").alias("point"))
     reps = cut(reps)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import small
+from .staging import short_batches, small
 
 #: Training rows of each language, at most (expected); chosen by hash over the whole table.
 ROWS_PER_LANGUAGE = 1000
@@ -26,7 +26,7 @@ ACCEPTED_ERROR = 0.02
 THRESHOLD_RANGE = (0.3, 0.9)
 UNKNOWN = "und"
 OUT = "doc_id long, lang_pred string, score double, rejected boolean"
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17
 _LETTER: list[np.ndarray] = []
 
 
@@ -184,4 +184,4 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
             yield pa.RecordBatch.from_arrays(cols + [b.column(i) for i in range(2, b.num_columns)], names=["doc_id", "lang_pred", "score", "rejected", *keep])
 
     types = dict(docs.dtypes)
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join([OUT, *(f"`{k}` {types[k]}" for k in keep)]))
+    return short_batches(docs).select("doc_id", "text", *keep).mapInArrow(run, ", ".join([OUT, *(f"`{k}` {types[k]}" for k in keep)]))

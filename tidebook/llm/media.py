@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import small
+from .staging import short_batches, small
 
 SEQUENCE = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("kind", "text", "digest", "caption"))]))
 WIDTH = 64
@@ -166,7 +166,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("media", pa.binary())]))
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    stored = docs.select(F.sha2(text, 256).alias("digest"), text.alias("text_")).mapInArrow(run, "digest string, n_bytes long, media binary")
+    stored = short_batches(docs).select(F.sha2(text, 256).alias("digest"), text.alias("text_")).mapInArrow(run, "digest string, n_bytes long, media binary")
     return stored.groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("media").alias("media"))
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .staging import small
+from .staging import short_batches, small
 
 LONGEST = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -193,4 +193,4 @@ def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = END_ID, ste
         if done := packer.close():
             yield rows(done)
 
-    return docs.select("doc_id", "text").mapInArrow(run, OUT)
+    return short_batches(docs).select("doc_id", "text").mapInArrow(run, OUT)

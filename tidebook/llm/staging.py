@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.staging import cut, ensure_checkpoint_dir
 
-__all__ = ["components", "cut", "ensure_checkpoint_dir", "release", "small"]
+__all__ = ["components", "cut", "ensure_checkpoint_dir", "release", "short_batches", "small"]
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -60,6 +60,22 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+#: Rows of whole texts in an Arrow batch. Spark's default is made for short rows.
+BATCH_ROWS = 1000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends BATCH_ROWS rows at once to Python unless it was told another number than Spark's default.
+
+    Batches lie in memory on both sides, outside the executor's heap.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS_SETTING) == "10000":
+        conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def small(batches, rows: int = 1000):
     """Arrow batches in slices of at most so many rows, so that a worker turns few of them into Python objects at once."""
     for b in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import small
+from .staging import short_batches, small
 
 #: Labelled rows of each class to learn from, at most (expected); chosen by hash over the whole table.
 ROWS_PER_CLASS = 2000
@@ -249,4 +249,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), threshold:
             yield pa.RecordBatch.from_arrays(cols + [b.column(i) for i in range(2, b.num_columns)], names=["doc_id", "score", "predicted", *keep])
 
     types = dict(docs.dtypes)
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join([OUT, *(f"`{k}` {types[k]}" for k in keep)]))
+    return short_batches(docs).select("doc_id", "text", *keep).mapInArrow(run, ", ".join([OUT, *(f"`{k}` {types[k]}" for k in keep)]))

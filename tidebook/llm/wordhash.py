@@ -13,7 +13,7 @@ _FOLD = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _FOLD[65:91] = _FOLD[97:123]
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
