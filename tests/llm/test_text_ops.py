@@ -181,6 +181,7 @@ def test_join_equals_brute_force(spark):
 
 def test_join_in_small_parts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PART", 200)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
     rng = random.Random(8)
     base = [f"v{i}" for i in range(80)]
     texts = {}
@@ -189,6 +190,9 @@ def test_join_in_small_parts(spark, monkeypatch):
         for _ in range(i % 7):
             w[rng.randrange(80)] = f"n{rng.randrange(10**6)}"
         texts[i] = " ".join(w)
+    for i in range(60, 100):
+        # Halves in common: blocks without links, which their hub doesn't settle.
+        texts[i] = " ".join(base[:40] + [f"m{i % 9}_{k}" for k in range(40)][: 40 - i % 4])
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(df).collect()}
     assert got == brute_components(texts)

@@ -21,6 +21,8 @@ PERCENT = 85
 _FAN = 8
 #: Shingles of a node when a cluster is compared exactly.
 PART = 1 << 19
+#: Texts of a node when a block is searched.
+BLOCK = 4096
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -253,27 +255,33 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return p.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a long, b long")
 
 
+def _parts(members: DataFrame, group: str, weight, most: int, percent: int) -> DataFrame:
+    """(group, i, j, rid) of members (group, rid, n): each group cut, in order of set size, into nodes of weight most, and each two nodes that sizes let
+    be alike in a part (i, j) of their own. A task so holds two nodes at once, however large the group."""
+    w = Window.partitionBy(group).orderBy("n", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    m = members.select(group, "rid", "n").withColumn("node", F.floor((F.sum(weight).over(w) - 1) / most).cast("long"))
+    nodes = m.groupBy(group, "node").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    other = nodes.select(F.col(group).alias("g_"), F.col("node").alias("j"), F.col("lo").alias("lo_"))
+    meet = (F.col(group) == F.col("g_")) & (F.col("node") <= F.col("j")) & (100 * F.col("hi") >= percent * F.col("lo_"))
+    pairs = nodes.join(other, meet).select(group, F.col("node").alias("i"), "j")
+    ends = pairs.withColumn("node", F.explode(F.array_distinct(F.array("i", "j"))))
+    return m.join(ends, [group, "node"]).select(group, "i", "j", "rid")
+
+
 def _verified(clusters: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the texts of each cluster (rid, c, n) whose sets are alike: a spanning forest of each part.
 
-    A cluster is cut, in order of set size, into nodes of PART shingles, which bounds a task's memory; nodes meet where the sizes of their sets
-    can be alike. A cluster within one node, which nearly all are, is one part.
+    A cluster is compared in parts of PART shingles; nearly all are one part.
     """
-    w = Window.partitionBy("c").orderBy("n", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    m = cut(clusters.withColumn("node", F.floor(F.sum("n").over(w) / PART).cast("long")))
-    nodes = m.groupBy("c", "node").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a, b = nodes.alias("a"), nodes.alias("b")
-    meet = (F.col("a.c") == F.col("b.c")) & (F.col("a.node") <= F.col("b.node")) & (100 * F.col("a.hi") >= percent * F.col("b.lo"))
-    pairs = a.join(b, meet).select(F.col("a.c").alias("c"), F.col("a.node").alias("i"), F.col("b.node").alias("j"))
-    ends = pairs.withColumn("node", F.explode(F.array_distinct(F.array("i", "j"))))
-    dealt = m.join(ends, ["c", "node"]).select("c", "i", "j", "rid")
+    clusters = cut(clusters)
+    dealt = _parts(clusters, "c", F.col("n"), PART, percent)
 
     def sets(batches):
         for b in small(batches):
             found = [np.unique(h).astype("<u8").tobytes() for h in shingles(b.column(1).to_pylist(), SHINGLE)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["rid", "s"])
 
-    ids = m.select("rid").distinct()
+    ids = clusters.select("rid").distinct()
     found = docs.select(F.col("doc_id").alias("rid"), "text").join(ids, "rid").dropDuplicates().mapInArrow(sets, "rid long, s binary")
     dealt = dealt.join(found, "rid").select("c", "i", "j", "rid", "s").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "rid")
     return dealt.mapInArrow(lambda batches: _grouped(batches, 3, _exact_links(percent)), "a long, b long")
@@ -306,11 +314,16 @@ def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = blocks.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
     near = cut(_bounded(stars, reps, percent).distinct())
     comp = cut(components(near).withColumnsRenamed({"node": "rid", "component": "c"}))
-    members = blocks.where("m > 2").join(comp, "rid", "left").select("key", "rid", F.coalesce("c", "rid").alias("c"))
+    members = blocks.where("m > 2").join(comp, "rid", "left").select("key", "rid", "m", F.coalesce("c", "rid").alias("c"))
     several = members.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    members = members.join(several, "key").join(reps.select("rid", "n", "point"), "rid")
-    members = members.select("key", "rid", "n", "c", "point").repartition("key").sortWithinPartitions("key", "rid")
-    near = near.union(members.mapInArrow(lambda batches: _grouped(batches, 1, _block_links(percent)), "a long, b long"))
+    members = cut(members.join(several, "key"))
+    large = _parts(members.where(F.col("m") > BLOCK).join(reps.select("rid", "n"), "rid"), "key", F.lit(1), BLOCK, percent)
+    large = large.join(members.select("key", "rid", "c"), ["key", "rid"]).select("key", "i", "j", "rid", "c")
+    zero = F.lit(0).cast("long")
+    dealt = members.where(F.col("m") <= BLOCK).select("key", zero.alias("i"), zero.alias("j"), "rid", "c").union(large)
+    dealt = dealt.join(reps.select("rid", "n", "point"), "rid").select("key", "i", "j", "rid", "n", "c", "point")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rid")
+    near = near.union(dealt.mapInArrow(lambda batches: _grouped(batches, 3, _block_links(percent)), "a long, b long"))
     comp = components(near).withColumnsRenamed({"node": "rid", "component": "c"})
     links = cut(_verified(comp.join(reps.select("rid", "n"), "rid"), docs, percent).distinct())
     release(spark)
