@@ -67,8 +67,10 @@ def decode_lines(lines: DataFrame, price_mode: str = "exact", strict_types: bool
     A record is refused if it isn't a JSON object, or if ts_recv is missing, zero or malformed, or ts_event is malformed. Any other mistyped
     field only falls back to its default. strict_types also treats a price or order_id that isn't quoted, or another number that is, as missing.
     """
-    text = F.trim(F.col("value"))
-    raw = lines.where(F.length(text) > 0).withColumn("r_", F.from_json(text, _JSON, {"mode": "PERMISSIVE"}))
+    # Unnested from an array of one, a record is parsed once; as a plain column it would be parsed again for every field.
+    once = F.struct(F.col("value").alias("line_"), F.from_json(F.trim("value"), _JSON, {"mode": "PERMISSIVE"}).alias("r_"))
+    raw = lines.where(F.length(F.trim("value")) > 0).select(*[c for c in lines.columns if c != "value"], F.inline(F.array(once)))
+    text = F.trim(F.col("line_"))
     field = {n: F.col(f"r_.{n}") for n in ("action", "side", "ts_recv", *_QUOTED)} | {n: F.col(f"r_.hd.{n}") for n in ("ts_event", "rtype", "publisher_id", "instrument_id")}
     if strict_types:
         for n, quoted in _QUOTED.items():
@@ -82,7 +84,7 @@ def decode_lines(lines: DataFrame, price_mode: str = "exact", strict_types: bool
     )
     number = codecs.unsigned_number
     out = raw.select(
-        *[c for c in lines.columns if c != "value"], F.col("value").alias("line_"), ts_recv.alias("ts_recv"), F.coalesce(ts_event, F.lit(0)).alias("ts_event"),
+        *[c for c in lines.columns if c != "value"], "line_", ts_recv.alias("ts_recv"), F.coalesce(ts_event, F.lit(0)).alias("ts_event"),
         number(field["order_id"], 64).alias("order_id"), price.alias("price"), number(field["instrument_id"], 32).alias("instrument_id"),
         number(field["publisher_id"], 32).alias("publisher_id"), number(field["sequence"], 32).alias("sequence"), number(field["size"], 32).alias("size"),
         codecs.signed_number(field["ts_in_delta"]).cast("int").alias("ts_in_delta"), number(field["channel_id"], 16).cast("int").alias("channel_id"),
