@@ -51,6 +51,24 @@ def test_licences(spark):
     assert {r["license_dir"] for r in license_scan.scan(root).where("doc_id = 2").collect()} == {""}
 
 
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful.
+"""
+
+
+def test_licence_bodies_and_wrapped_headers(spark):
+    body = {n: "Copyright (c) 2020 The Authors\n\n" + t for n, t in license_scan.BODIES}
+    files = [(n, f"{n}/LICENSE", t) for n, t in body.items()] + [(n + " x", f"{n}/src/a.c", "int x;") for n in body]
+    files += [("header", "h/a.py", "import os\n" + GPL_HEADER + "x = 1\n"), ("wrapped", "h/b.c", "/* Licensed under the\r\n * Apache License, Version 2.0.\r\n */"), ("prose", "p/LICENSE", "the permission of the king and of the people " * 40)]
+    got = {r["doc_id"]: (r["license"], r["kind"]) for r in license_scan.scan(spark.createDataFrame(files, "doc_id string, path string, text string")).collect()}
+    want = {n: (n, "file") for n in body} | {n + " x": (n, "inherited") for n in body}
+    assert got == want | {"header": ("GPL-3.0", "header"), "wrapped": ("Apache-2.0", "header"), "prose": (None, "none")}
+
+
 def test_licences_of_odd_rows(spark):
     holds(lambda d: license_scan.scan(license_scan.as_files(d)), documents(spark))
 

@@ -1,7 +1,7 @@
 """License scans.  DataFrame operations only.
 
-Every line that could state a licence, and every licence file as a whole, is compared with licence templates by the
-cosine of sparse TF-IDF vectors; a file without its own statement inherits from the nearest ancestor directory
+Every line that could state a licence is compared with short templates, every block of lines that could be a licence
+header with header templates, and every licence file as a whole with licence bodies, by the cosine of sparse TF-IDF vectors; a file without its own statement inherits from the nearest ancestor directory
 that holds a licence file.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,33 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: The usual notices of more than one sentence, as they stand at the head of files or of short licence files.
+HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+     " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+     " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software"
+     ' distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+     " See the License for the specific language governing permissions and limitations under the License."),
+    *((f"{short}-{version}.0", f"This {what} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License"
+       f" as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version.")
+      for short, what, name in (("GPL", "program", ""), ("LGPL", "library", "Lesser "), ("AGPL", "program", "Affero ")) for version, colon, comma in ((2, ";", ";"), (3, ":", ","))
+      if (short, version) not in (("LGPL", 2), ("AGPL", 2))),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"
+     " as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,"
+     " You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"),"
+     " to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"
+     " copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
+     " provided that the above copyright notice and this permission notice appear in all copies."),
+]
+#: Whole licences, one file each, by name.
+BODIES = [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+#: A block is up to so many consecutive lines of at most so many characters, one of which has a word that every notice has.
+BLOCK_LINES, BLOCK_WIDTH = 12, 400
+_STATES = ("licen", "permission", "redistribut", "public domain")
 #: Cosine from which a line or licence file counts as stating a template's licence.
 THRESHOLD = 0.77
 #: Directory names of files that license their directory.
@@ -66,7 +94,8 @@ def _anchors(vectors) -> list[str]:
 
 
 def best_templates(lines: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(line, best struct<score, license>) of the distinct lines that reach the threshold with some template.
+    """(line, best struct<score, license>) of the distinct lines that reach the threshold with some template; a column body, if there
+    is one, holds the text that line is the key of.
 
     Sparse vectors as rows: a line's terms are counted, weighed by a join with the idf table and multiplied by a join with the
     templates' vectors. Both tables are fixed and of a few hundred rows. Of equal cosines the later name counts.
@@ -76,7 +105,8 @@ def best_templates(lines: DataFrame, templates=TEMPLATES, threshold: float = THR
     idf_table = F.broadcast(spark.createDataFrame(list(idf.items()), "w string, idf double"))
     rows = [(i, name, w, y) for i, (name, v) in enumerate(vectors) for w, y in v.items()]
     template_table = F.broadcast(spark.createDataFrame(rows, "i int, license string, w string, y double"))
-    terms = lines.select("line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(f"({_WORD})"))).alias("w")).groupBy("line", "w").count()
+    body = "body" if "body" in lines.columns else "line"
+    terms = lines.select("line", F.explode(F.regexp_extract_all(F.lower(body), F.lit(f"({_WORD})"))).alias("w")).groupBy("line", "w").count()
     terms = terms.join(idf_table, "w", "left").select("line", "w", (F.col("count") * F.coalesce("idf", F.lit(unseen))).alias("x"))
     norms = terms.groupBy("line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = terms.join(template_table, "w").groupBy("line", "i", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
@@ -84,10 +114,39 @@ def best_templates(lines: DataFrame, templates=TEMPLATES, threshold: float = THR
     return scored.where(F.col("best.score") >= threshold).groupBy("line").agg(F.max("best").alias("best"))
 
 
-def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _found(held: DataFrame, best: DataFrame) -> DataFrame:
+    """(doc_id, path, best) of held (doc_id, path, line), where many may share a line."""
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salt = F.pmod(F.coalesce(F.xxhash64("doc_id", "path"), F.lit(0)), F.lit(_SALTS)).cast("int").alias("salt")
+    return held.select("doc_id", "path", "line", salt).join(best, ["line", "salt"]).select("doc_id", "path", "best")
+
+
+def blocks(files: DataFrame) -> DataFrame:
+    """(doc_id, path, line, n) of files (doc_id, path, text): every line with a word of _STATES and every block of n lines around one, comment marks left out."""
+    n, states = F.size("lines"), lambda x: F.lower(x).rlike("|".join(_STATES))
+    lines = files.where(states(F.col("text"))).select("doc_id", "path", F.split("text", "\r?\n").alias("lines"))
+    # Around each such line as many lines as a block may reach; lines too long for a block are null there.
+    short = lambda x: F.when(F.length(x) <= BLOCK_WIDTH, x)
+    first = lambda i: F.greatest(F.lit(1), i - BLOCK_LINES + 1)
+    near = lambda i: F.struct(F.element_at("lines", i).alias("own"), F.transform(F.slice("lines", first(i), F.lit(2 * BLOCK_LINES - 1)), short).alias("near"), (i - first(i) + 1).alias("at"))
+    at = F.filter(F.sequence(F.lit(1), n), lambda i: states(F.element_at("lines", i)))
+    rows = lines.select("doc_id", "path", F.explode(F.transform(at, near)).alias("r")).select("doc_id", "path", "r.*")
+    size = F.size("near")
+    starts = lambda k: F.sequence(F.greatest(F.lit(1), F.col("at") - k + 1), F.least(F.col("at"), size - k + 1))
+    windows = lambda k: F.transform(starts(k), lambda s: F.struct(k.alias("n"), F.slice("near", s, k).alias("part")))
+    pick = F.when(size > 1, F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.lit(BLOCK_LINES), size)), windows)))
+    whole = F.array(F.struct(F.lit(1).alias("n"), F.array("own").alias("part")))
+    rows = rows.select("doc_id", "path", F.explode(F.concat(whole, F.coalesce(pick, F.array().cast("array<struct<n:int,part:array<string>>>")))).alias("b"))
+    rows = rows.where(~F.exists("b.part", lambda x: x.isNull()))
+    words = F.array_join(F.regexp_extract_all(F.lower(F.array_join("b.part", "\n")), F.lit(f"({_WORD})")), " ")
+    return rows.select("doc_id", "path", words.alias("line"), (F.col("b.n") > 1).alias("many")).distinct()
+
+
+def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, headers=HEADERS, bodies=BODIES) -> DataFrame:
     """Licence of every file of files (doc_id, path, text): doc_id, path, own_license, own_score, license, license_dir, kind.
 
-    own_*: the best template over all lines of the whole text that reach the threshold (of equal scores the later name).
+    own_*: the best template over all lines of the whole text, all blocks of lines that could be a header and, for a licence file, the
+    whole text, that reach the threshold (of equal scores the later name).
     kind: 'file' for a licence file with a licence, 'header' for another file with a statement of its own, 'inherited'
     where the nearest ancestor directory with a licence file gives one, else 'none'. A null text or path is empty; an
     empty text states nothing; several licence files in one directory give the best score's; rows that share doc_id and path are one
@@ -104,12 +163,16 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     lower = F.lower("line")
     # A plain search leaves few lines to the pattern; what passes is small and is read twice.
     lines = cut(lines.where(reduce(lambda x, y: x | y, [F.contains(lower, F.lit(a)) for a in anchors])).where(lower.rlike(whole)))
-    best = best_templates(lines.select("line").distinct(), templates, threshold)
-    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    salt = F.pmod(F.coalesce(F.xxhash64("doc_id", "path"), F.lit(0)), F.lit(_SALTS)).cast("int").alias("salt")
-    own = lines.select("doc_id", "path", "line", salt).join(best, ["line", "salt"]).groupBy("doc_id", "path").agg(F.max("best").alias("best_"))
-    own = own.select(F.col("doc_id").alias("d_"), F.col("path").alias("p_"), "best_")
+    own = _found(lines, best_templates(lines.select("line").distinct(), templates, threshold))
     name, dir_ = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/?[^/]*$", "")
+    block = cut(blocks(files.select("doc_id", path, "text")))
+    many = block.where("many")
+    own = own.union(_found(many, best_templates(many.select("line").distinct(), templates, threshold)))
+    own = own.union(_found(block, best_templates(block.select("line").distinct(), headers, threshold)))
+    whole = files.select("doc_id", path, F.md5("text").alias("line"), F.col("text").alias("body")).where(name.rlike(LICENSE_FILE) & F.col("text").isNotNull())
+    own = own.union(_found(whole, best_templates(whole.select("line", "body").dropDuplicates(["line"]), bodies, threshold)))
+    own = own.groupBy("doc_id", "path").agg(F.max("best").alias("best_"))
+    own = own.select(F.col("doc_id").alias("d_"), F.col("path").alias("p_"), "best_")
     f = files.select("doc_id", path).join(own, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("path") == F.col("p_")), "left")
     return _inherit(f.select("doc_id", "path", dir_.alias("dir_"), "best_", name.rlike(LICENSE_FILE).alias("is_file")))
 
