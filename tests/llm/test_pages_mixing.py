@@ -40,6 +40,21 @@ def test_main_text_of_variants(page, text):
     assert html_main.extract(page, html_main.learn([PAGE] * 5)) == text
 
 
+LONG_PART = "<p>" + "many words stand in this part of the page " * 30 + "</p>"
+
+
+@pytest.mark.parametrize("part", ['<div class="sidebar">{}</div>', '<div id="cookie-consent">{}</div>', '<div role="complementary">{}</div>', '<div class="related">{}</div>', "<form>{}</form>"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_long_marked_parts_are_left_out(part, tag):
+    """A part beside the article is left out whatever its length, and kept only where it is all of the page."""
+    part = part.format(LONG_PART)
+    article = f"<{tag}><h1>A title here</h1><p>A short article of a few words.</p></{tag}>"
+    for weights in (html_main.learn([]), html_main.learn([PAGE] * 5), html_main.learn([f"<body>{part}{article}</body>"] * 5)):
+        for page in (f"<body>{part}{article}</body>", f"<body>{article}{part}</body>"):
+            assert html_main.extract(page, weights) == "A title here\nA short article of a few words."
+        assert html_main.extract(f"<body>{part}</body>", weights).startswith("many words")
+
+
 def test_main_text_equals_the_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r["page_id"]: r for r in queries.op5_html_main_text(spark, "/root/testdata/sf0.01").collect()}

@@ -64,18 +64,17 @@ class _Marked:
     def __init__(self, kind: str, parent: _Marked | None):
         self.kind, self.parent, self.words, self.article = kind, parent, 0, False
 
-    def counts(self, total: int) -> bool:
-        """Whether it is left out. One that holds an article isn't; nor is a form or a named part that holds half of the page's words."""
-        if self.parent is not None and self.parent.counts(total):
-            return True
-        return not self.article and (self.kind in ("comments", "tag") or 2 * self.words < total)
+    def counts(self, total: int) -> int:
+        """2 if it is left out, 0 if it isn't as it holds an article, 1 for a form or a named part with half of the page's words: left out where anything else is the text."""
+        own = 0 if self.article else 2 if self.kind in ("comments", "tag") or 2 * self.words < total else 1
+        return own if self.parent is None else max(own, self.parent.counts(total))
 
 
 def tokens(page: str | None) -> list[tuple]:
     """(kind, key, value, beside, labelled) of every token.
 
     kind 'w' is a run of text with its context as key, 't' a tag with its name ('/name' to close). beside: inside a part marked
-    as not the article. labelled: inside an article or main element.
+    as not the article, 2, or, 1, inside one that may yet be the page's text as it holds half of it and no article stands outside. labelled: inside an article or main element.
     """
     out: list[tuple] = []
     # Open elements: name, innermost marked element, whether inside an article, nearest block's name, whether inside a link.
@@ -136,10 +135,13 @@ def tokens(page: str | None) -> list[tuple]:
             stack.append((name, marked, inside, block, "a" if name == "a" else link))
             open_names[name] += 1
         out.append(("t", name, tok, marked, inside))
-    known: dict[int, bool] = {}
+    known: dict[int, int] = {}
     for i, (kind, key, value, marked, inside) in enumerate(out):
-        beside = marked is not None and known.setdefault(id(marked), marked.counts(total))
-        out[i] = (kind, key, value, beside, inside)
+        if marked is not None and id(marked) not in known:
+            known[id(marked)] = marked.counts(total)
+        out[i] = (kind, key, value, 0 if marked is None else known[id(marked)], inside)
+    if 1 in known.values() and any(kind == "w" and inside and not beside and value.strip() for kind, _, value, beside, inside in out):
+        out = [(kind, key, value, 2 * bool(beside), inside) for kind, key, value, beside, inside in out]
     return out
 
 
@@ -169,7 +171,7 @@ def learn(pages: list[str]) -> Weights:
         if not any(t[4] for t in toks):
             continue
         for kind, key, value, beside, labelled in toks:
-            if not beside:
+            if beside < 2:
                 (inside if labelled else outside)[kind, key] += len(_WORD.findall(value)) if kind == "w" else 1
     words, tags = {}, {}
     for kind, key in {*inside, *outside}:
@@ -195,9 +197,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def extract(page: str | None, weights: Weights) -> str:
-    """The main text of one page; empty for a null or empty page or one without running text."""
-    toks = tokens(page)
+def _region(toks: list[tuple], weights: Weights) -> tuple[int, int]:
     scores, before = [], False
     for kind, key, value, beside, _ in toks:
         if beside:
@@ -206,7 +206,17 @@ def extract(page: str | None, weights: Weights) -> str:
         else:
             scores.append(len(_WORD.findall(value)) * weights.word(key) if kind == "w" else weights.tag(key))
         before = beside
-    a, b = best_region(scores)
+    return best_region(scores)
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    """The main text of one page; empty for a null or empty page or one without running text."""
+    toks = tokens(page)
+    a, b = _region(toks, weights)
+    if a == b and any(t[3] == 1 for t in toks):
+        # Nothing else is running text: the large marked parts are the page.
+        toks = [(kind, key, value, 2 * (beside == 2), labelled) for kind, key, value, beside, labelled in toks]
+        a, b = _region(toks, weights)
     if b > a:
         # Whole blocks: a region never starts or ends inside one.
         while a and not (toks[a - 1][0] == "t" and toks[a - 1][1].lstrip("/") in _BLOCKS):
