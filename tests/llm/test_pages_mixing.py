@@ -168,6 +168,23 @@ def test_targets_equal_repeated_sharing(spark):
     assert rows(mixing.mix(df.repartition(7))) == sorted(map(tuple, got), key=repr)
 
 
+def test_small_and_many_sources_meet_their_targets(spark):
+    """Sources smaller than a block, and many small sources, get their targets like large ones."""
+    big = [(i, f"b{i % 2}", 500_000) for i in range(40)]
+    small = [(1000 + i, f"s{i % 40:02}", 50 + 10 * (i % 40)) for i in range(120)]
+    many = [(i, f"m{i // 3:04}", 250) for i in range(6000)]
+    for docs in (big + small, many):
+        text = F.repeat(F.lit("w "), F.col("n"))
+        got = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, n int").withColumn("text", text)).collect()
+        taken, target = defaultdict(int), {}
+        for r in got:
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+        assert len(got) == len(docs)
+        assert all(abs(taken[s] - t) <= 0.01 * t + 1 for s, t in target.items())
+
+
 def test_mixing_of_odd_rows(spark):
     holds(lambda d: mixing.mix(d).select("doc_id", "size", "source_size", "target", "taken"), documents(spark))
     empty = documents(spark, [(1, None, None, "a", 0), (2, "", None, None, 0)])

@@ -2,7 +2,8 @@
 
 Golden-ratio points are mapped through the cumulative targets, which gives every slot a source; a slot's rank
 among its source's slots names the block it takes.  A source's documents, in a fixed shuffled order, form one stream
-of words that is cut into blocks of equal length; ranks beyond the last block start the next pass.
+of words that is cut into blocks of equal length; ranks beyond the last block start the next pass.  A source whose
+target is too few slots for that is settled by words: whole passes over its stream, and the rest of its target from the start.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .staging import cut
 SLOTS = 1 << 16
 LARGEST_BLOCK = 4096
 PERIOD = 1 << 31
+#: Slots that a source's target must hold to be met by slots: the points and the short last block miss it by a few slots at most.
+LEAST_SLOTS = 1024
 #: Golden-ratio step for 32-bit points: the odd integer nearest 2^32 / 1.618...
 GOLDEN = 2654435769
 CELLS = 4096
@@ -111,16 +114,23 @@ def mix(docs: DataFrame, max_repeat: int = 3) -> DataFrame:
 
     nb = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
     blocks = targets.where("source_size > 0").select(F.col("source").alias("t_"), nb.alias("nb"))
-    plan = schedule(targets, total, block).join(blocks, F.col("source").eqNullSafe(F.col("t_"))).where(F.col("rank") < F.col("nb") * max_repeat)
+    settled = F.floor("target") < LEAST_SLOTS * block
+    by_slots = targets.where(~settled)
+    plan = schedule(by_slots, total, block).join(blocks, F.col("source").eqNullSafe(F.col("t_"))).where(F.col("rank") < F.col("nb") * max_repeat)
     uses = plan.groupBy(F.col("source").alias("s_"), F.pmod("rank", "nb").alias("b_")).agg(F.count("*").alias("uses"))
     last = F.col("start") + F.col("size") - 1
-    pieces = placed.where("size > 0").withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last / block))))
+    # Settled sources: words of whole passes, and of the rest as far as the document lies in it.
+    goal, placed = F.floor("target").cast("long"), placed.where("size > 0")
+    passes = F.floor(goal / F.col("source_size")).cast("long")
+    part = F.least(F.col("size"), F.greatest(goal - passes * F.col("source_size") - F.col("start"), F.lit(0)))
+    few = placed.where(settled).select("doc_id", "size", "source_size", "target", (passes * F.col("size") + part).cast("long").alias("taken"), "source")
+    pieces = placed.where(~settled).withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last / block))))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block) - F.greatest(F.col("start"), F.col("b") * block)
     pieces = pieces.withColumn("words", overlap).join(uses, F.col("source").eqNullSafe(F.col("s_")) & (F.col("b") == F.col("b_")), "left")
     some = pieces.groupBy("doc_id", "size", "source_size", "target", "source", "start").agg(
         F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).cast("long").alias("taken")
     )
-    return some.select(*none.columns).union(none)
+    return some.select(*none.columns).union(few).union(none)
 
 
 ORACLE = f"""
