@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -366,16 +367,63 @@ def test_packing(spark):
         assert at <= 2048 and at & (at - 1) == 0
 
 
+def test_packing_of_a_whole_table(spark, sf):
+    """Every piece by a plain rule: documents are covered without gap or overlap, sequences too, and ids are the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    want = {r["doc_id"]: [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in docs.collect()}
+    assert len(want) == docs.count()
+    pieces, sequences, groups, pad = {}, {}, {}, 0
+    for p in queries.op9_packing(spark, sf).collect():
+        ids = want[p["doc_id"]]
+        pieces.setdefault(p["doc_id"], []).append((p["start"], p["length"]))
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+        groups.setdefault((p["sequence_id"] >> 33, p["tier"]), {}).setdefault(p["step_group"], Counter())[p["sequence_id"]] += p["length"]
+        assert p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(np.array(ids[p["start"] : p["start"] + p["length"]], "<u4").tobytes())
+    for own, whole in [(pieces[i], len(ids)) for i, ids in want.items()] + [(s, None) for s in sequences.values()]:
+        at = 0
+        for start, length in sorted(own):
+            assert start == at and length > 0
+            at += length
+        assert at == whole if whole else at <= 2048
+        pad += 0 if whole or at & (at - 1) == 0 else 2048 - at
+    assert pad == 0
+    # Step groups of a tier in a part hold equal numbers of tokens, up to a half at its end.
+    for (_, tier), own in groups.items():
+        sizes = sorted(sum(g.values()) for g in own.values())
+        assert sizes[-1] <= packing.STEP * 2048 and (tier < 256 or len(sizes) == 1 or sizes[0] >= sizes[-1] / 2 - tier)
+
+
 def test_packer_places_every_token_once():
     rng = random.Random(6)
     packer, done, sizes = packing.Packer(), [], {}
-    for i in range(500):
-        sizes[i] = rng.choice([1, 5, 300, 900, 2047, 2048, 2049, 7000])
+    for i in range(3000):
+        sizes[i] = rng.choice([1, 5, 30, 300, 900, 1025, 2047, 2048, 2049, 7000])
         done += packer.take(i, sizes[i])
+        assert all(sum(n for n, _, _ in p) == packer.waiting[t] < packing.POOL * t for t, p in packer.pool.items())
+    cut = sum(s > 0 and s % 2048 > 0 for _, s, *_ in done)
     done += packer.close()
     for i, n in sizes.items():
         own = sorted((s, m) for d, s, m, *_ in done if d == i)
         assert own[0][0] == 0 and all(s + m == t for (s, m), (t, _) in zip(own, own[1:])) and sum(own[-1]) == n
+    filled = Counter()
+    for _, _, m, seq, at, tier in done:
+        assert at == filled[seq, tier]
+        filled[seq, tier] += m
+    assert all(n == tier for (_, tier), n in filled.items())
+    # A window cuts one piece at most, and most windows none.
+    assert cut < len(filled) / 2
+
+
+def test_steps_are_even():
+    for n in (0, 1, 15, 16, 17, 31, 32, 33, 100):
+        steps, groups = packing.Steps(4), Counter()
+        rows = [r for i in range(n) for r in steps.take(512, [(i,)])] + steps.close()
+        assert [r[0] for r in rows] == list(range(n))
+        groups.update(r[1] for r in rows)
+        assert all(g <= 16 for g in groups.values()) and (n < 16 or min(groups.values()) >= 8)
 
 
 def test_fast_ids_equal_the_tokenizer(spark):
@@ -385,3 +433,23 @@ def test_fast_ids_equal_the_tokenizer(spark):
     texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [LONG[:3000], "a\u00a0b\u2003c\r\n\t x'll 12345 \U0001f469\u200d\U0001f680", "x<|endoftext|>y", "  \n\n  "]
     for t, ids in zip(texts, packing._encoder(queries.tokenizer_path())(texts), strict=True):
         assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\u2003", "\u0085", "a", "!", "7", "\u0301", " x", "x" + " " * 8190, " \x1c"])
+def test_ids_of_very_long_runs(unit):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    text = unit * (1_000_000 // len(unit)) + "x"
+    assert packing._encoder(queries.tokenizer_path())([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_both_tokenizers_split_every_character_alike():
+    from tokenizers import Tokenizer
+
+    tok, fast = Tokenizer.from_file(queries.tokenizer_path()), packing._encoder(queries.tokenizer_path())
+    points = [c for c in [*range(0x32000), *range(0xE0000, 0xE0200), *range(0x32000, 0x110000, 997)] if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 1 << 14):
+        texts = ["a{0}1{0}!{0} x".format(chr(c)) for c in points[at : at + (1 << 14)]]
+        for ids, e in zip(fast(texts), tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            assert ids.tolist() == e.ids

@@ -1,15 +1,16 @@
 """Hierarchical multi-length packing of documents into token sequences.
 
-Documents are tokenized and packed where they are read, without a shuffle. Each is routed to the smallest context tier that holds
-what is left of it after whole long windows; every tier fills its windows one after another, a document that
-crosses a window's end being cut there; at the end of a part, the gaps of longer windows are filled from the shorter tiers and the rest is laid
-into windows of powers of two, which need no padding.
+Documents are tokenized and packed where they are read, without a shuffle. Whole long windows are cut off a document; what is left waits in the pool of
+the smallest context tier that holds it. A window of a tier takes the longest piece of its pool, fills its gap with the longest pieces that fit, from its own
+pool and then from those of shorter tiers, and cuts one piece to close what remains; at the end of a part the last pieces are laid into windows of powers of two, which need
+no padding. Sequences of one tier form step groups of equal numbers of tokens.
 """
 
 from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,12 @@ from .staging import short_batches, small
 LONGEST = 2048
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-#: Sequences per training step; within a step group all sequences are of one length.
+#: Tokens that wait in the pool of a tier before a window is packed, in windows of that tier.
+POOL = 16
+#: Longest sequences of a training step; shorter ones come in as many as have the same number of tokens.
 STEP = 16
+#: Texts with a run of at least twice so much white space go to the tokenizer itself; the other library's search for the end of such a run needs a stack of its length.
+WHITE_RUN = 4096
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 _loaded: dict = {}
 
@@ -30,7 +35,7 @@ def _encoder(path: str):
     """A function from texts to arrays of ids; loaded once per worker process.
 
     A byte-level BPE file gives the same ids through tiktoken, several times faster: its vocabulary's numbers are the ranks
-    of its merges. A text that holds the string of an added token goes to the tokenizer itself.
+    of its merges. A text that holds the string of an added token, or a very long run of white space, goes to the tokenizer itself.
     """
     if path not in _loaded:
         import public_tokenizers
@@ -48,7 +53,7 @@ def _encoder(path: str):
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> np.ndarray:
-            if any(a in text for a in added):
+            if any(a in text for a in added) or _long_white(text):
                 if not slow:
                     slow.append(Tokenizer.from_file(path))
                 return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
@@ -58,17 +63,22 @@ def _encoder(path: str):
     return _loaded[path]
 
 
+def _long_white(text: str) -> bool:
+    """Whether text may hold 2 * WHITE_RUN white characters in a row; then one aligned stretch of WHITE_RUN is all white."""
+    return any(text[i : i + WHITE_RUN].isspace() for i in range(0, len(text) - WHITE_RUN + 1, WHITE_RUN))
+
+
 class Packer:
     """Packs the documents of one part; take() returns finished pieces, close() the rest.
 
-    A piece is (document number, start, length, sequence number, offset, tier). Memory: what lies in unfinished windows, under LONGEST
-    pieces per tier, and nothing else.
+    A piece is (document number, start, length, sequence number, offset, tier). Memory: what waits in the pools, POOL windows a tier at most, and nothing
+    else. Pools are sorted by length, then by document, so that a part that is computed again gives the same pieces.
     """
 
     def __init__(self, tiers=TIERS):
         self.tiers = tiers
-        self.open: dict[int, list] = {t: [] for t in tiers}
-        self.fill: dict[int, int] = dict.fromkeys(tiers, 0)
+        self.pool: dict[int, list[tuple[int, int, int]]] = {t: [] for t in tiers}  # (length, document, start)
+        self.waiting: dict[int, int] = dict.fromkeys(tiers, 0)
         self.sequence = 0
 
     def _finish(self, tier: int, pieces: list) -> list:
@@ -79,67 +89,115 @@ class Packer:
         self.sequence += 1
         return out
 
-    def _add(self, tier: int, doc, start: int, length: int) -> list:
-        done = []
-        while length:
-            room = tier - self.fill[tier]
-            n = min(room, length)
-            self.open[tier].append((doc, start, n))
-            self.fill[tier] += n
-            start, length = start + n, length - n
-            if self.fill[tier] == tier:
-                done += self._finish(tier, self.open[tier])
-                self.open[tier], self.fill[tier] = [], 0
-        return done
-
-    def take(self, doc, n: int) -> list:
+    def _wait(self, doc: int, start: int, length: int) -> None:
+        tier = next(t for t in self.tiers if t >= length)
+        insort(self.pool[tier], (length, doc, start))
+        self.waiting[tier] += length
+
+    def _draw(self, tier: int, at: int) -> tuple[int, int, int]:
+        length, doc, start = self.pool[tier].pop(at)
+        self.waiting[tier] -= length
+        return doc, start, length
+
+    def _window(self, tier: int) -> list:
+        """A full window from the pools of tier and of shorter ones, which hold enough."""
+        lower = [t for t in reversed(self.tiers) if t <= tier]
+        own, gap = [], tier
+        while gap:
+            for t in lower:
+                if (at := bisect_right(self.pool[t], (gap + 1,)) - 1) >= 0:
+                    own.append(self._draw(t, at))
+                    gap -= own[-1][2]
+                    break
+            else:
+                # All that waits is longer than the gap: the shortest piece closes it, the rest of that piece waits again.
+                doc, start, length = self._draw(next(t for t in reversed(lower) if self.pool[t]), 0)
+                own.append((doc, start, gap))
+                self._wait(doc, start + gap, length - gap)
+                gap = 0
+        return self._finish(tier, own)
+
+    def take(self, doc: int, n: int) -> list:
         longest, done, start = self.tiers[-1], [], 0
         while n - start >= longest:
             done += self._finish(longest, [(doc, start, longest)])
             start += longest
-        rest = n - start
-        if rest:
-            done += self._add(next(t for t in self.tiers if t >= rest), doc, start, rest)
+        if n > start:
+            self._wait(doc, start, n - start)
+        for tier in self.tiers:
+            while self.waiting[tier] >= POOL * tier:
+                done += self._window(tier)
         return done
 
     def close(self) -> list:
-        """Fill gaps of long windows from shorter tiers, longest first; lay what is left into powers of two."""
+        """Pack what waits, longest tier first; lay what no window of its tier can be filled with into powers of two."""
         done = []
-        for i in range(len(self.tiers) - 1, 0, -1):
-            tier = self.tiers[i]
-            for lower in reversed(self.tiers[:i]):
-                while self.fill[tier] and self.open[lower]:
-                    doc, start, length = self.open[lower].pop(0)
-                    n = min(length, tier - self.fill[tier])
-                    self.fill[lower] -= n
-                    if n < length:
-                        self.open[lower].insert(0, (doc, start + n, length - n))
-                    done += self._add(tier, doc, start, n)
         for tier in reversed(self.tiers):
-            pieces, left = self.open[tier], self.fill[tier]
-            while left:
-                window = 1 << (left.bit_length() - 1)
-                own, room = [], window
-                while room:
-                    doc, start, length = pieces.pop(0)
-                    n = min(length, room)
-                    own.append((doc, start, n))
-                    if n < length:
-                        pieces.insert(0, (doc, start + n, length - n))
-                    room -= n
-                done += self._finish(window, own)
-                left -= window
-            self.open[tier], self.fill[tier] = [], 0
+            while self.pool[tier] and sum(self.waiting[t] for t in self.tiers if t <= tier) >= tier:
+                done += self._window(tier)
+        pieces = [self._draw(t, 0) for t in reversed(self.tiers) for _ in range(len(self.pool[t]))]
+        left = sum(p[2] for p in pieces)
+        while left:
+            window = 1 << (min(left, self.tiers[-1]).bit_length() - 1)
+            own, room = [], window
+            while room:
+                doc, start, length = pieces.pop(0)
+                n = min(length, room)
+                own.append((doc, start, n))
+                if n < length:
+                    pieces.insert(0, (doc, start + n, length - n))
+                room -= n
+            done += self._finish(window, own)
+            left -= window
         return done
 
 
+class Steps:
+    """Numbers the step groups of a part: of each tier as many sequences as have the tokens of step longest ones.
+
+    The last full group of a tier is held back with the one begun after it, and both are dealt evenly at the end, so that no group has less than half of the
+    tokens of a step, unless its tier has fewer in the whole part. Sequences shorter than the least tier are the end of a part and share its last group.
+    """
+
+    def __init__(self, step: int = STEP, tiers=TIERS):
+        self.size = {t: step * tiers[-1] // t for t in tiers}
+        self.held: dict[int, list] = {t: [] for t in tiers}
+        self.short: list = []
+        self.group = 0
+
+    def _number(self, sequences: list) -> list:
+        out = [(*row, self.group) for rows in sequences for row in rows]
+        self.group += 1
+        return out
+
+    def take(self, tier: int, rows: list) -> list:
+        """rows of one sequence; returns rows with the number of their group, once it is known."""
+        if tier not in self.held:
+            self.short.append(rows)
+            return []
+        held, n = self.held[tier], self.size[tier]
+        held.append(rows)
+        if len(held) < 2 * n:
+            return []
+        self.held[tier] = held[n:]
+        return self._number(held[:n])
+
+    def close(self) -> list:
+        out = []
+        for tier, held in self.held.items():
+            parts = -(-len(held) // self.size[tier])
+            for i in range(parts):
+                out += self._number(held[i * len(held) // parts : (i + 1) * len(held) // parts])
+        return out + (self._number(self.short) if self.short else [])
+
+
 def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = END_ID, step: int = STEP) -> DataFrame:
     """Pieces of all documents (doc_id, text) in sequences of at most the longest tier: OUT.
 
     tokenizer: path of a tokenizer file, known to every executor. A document's ids are its tokens and end_id. A null or
     empty text is that one id; repeated rows are packed each; a doc_id may be null; an empty table gives no rows. Sequence
     numbers are unique over the table: the part's number above bit 33, the part's own count below. A part that is computed again
-    gives the same pieces. step_group numbers groups of step sequences of one length within a part.
+    gives the same pieces. step_group numbers groups of sequences of one tier within a part; see Steps.
     """
     if list(tiers) != sorted({1 << (t.bit_length() - 1) for t in tiers}):
         raise ValueError("tiers must be rising powers of two")
@@ -150,27 +208,27 @@ def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = END_ID, ste
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 33
-        encode, packer = _encoder(tokenizer), Packer(tiers)
-        held: dict[int, tuple] = {}  # ids of documents that still have a piece in an open window
-        steps: dict[int, tuple[int, int]] = {}
-        groups = 0
+        encode, packer, groups = _encoder(tokenizer), Packer(tiers), Steps(step, tiers)
+        held: dict[int, tuple] = {}  # ids of documents that still have a piece in a pool
         serial = 0
 
-        def rows(pieces):
-            nonlocal groups
-            out = {n: [] for n in names}
-            for doc, start, length, seq, offset, tier in pieces:
-                if offset == 0:
-                    group, count = steps.get(tier, (-1, step))
-                    if count == step:
-                        group, count = groups, 0
-                        groups += 1
-                    steps[tier] = (group, count + 1)
-                doc_id, ids = held[doc]
-                crc = zlib.crc32(ids[start : start + length].astype("<u4").tobytes())
-                for n, v in zip(names, (doc_id, start, length, crc, len(ids), base + seq, offset, tier, base + steps[tier][0]), strict=True):
-                    out[n].append(v)
-            return pa.RecordBatch.from_pydict(out, schema=schema)
+        def grouped(pieces):
+            """Rows of finished sequences, whose pieces follow each other, as far as their step groups are known."""
+            rows, at = [], 0
+            while at < len(pieces):
+                seq, tier, own = pieces[at][3], pieces[at][5], []
+                while at < len(pieces) and pieces[at][3] == seq:
+                    doc, start, length, _, offset, _ = pieces[at]
+                    doc_id, ids = held[doc]
+                    own.append((doc_id, start, length, zlib.crc32(ids[start : start + length].astype("<u4").tobytes()), len(ids), base + seq, offset, tier))
+                    at += 1
+                rows += groups.take(tier, own)
+            return rows
+
+        def batch(rows):
+            columns = [*zip(*rows, strict=True)]
+            columns[-1] = [base + g for g in columns[-1]]
+            return pa.RecordBatch.from_pydict(dict(zip(names, columns, strict=True)), schema=schema)
 
         for b in small(batches):
             doc_ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
@@ -185,12 +243,12 @@ def pack(docs: DataFrame, tokenizer: str, tiers=TIERS, end_id: int = END_ID, ste
                     held[serial] = (doc_id, np.append(ids, np.uint32(end_id)))
                     done += packer.take(serial, len(held[serial][1]))
                     serial += 1
-                if done:
-                    yield rows(done)
-                live = {p[0] for pieces in packer.open.values() for p in pieces}
+                if rows := grouped(done):
+                    yield batch(rows)
+                live = {doc for waiting in packer.pool.values() for _, doc, _ in waiting}
                 held = {k: v for k, v in held.items() if k in live}
                 at = end
-        if done := packer.close():
-            yield rows(done)
+        if rows := grouped(packer.close()) + groups.close():
+            yield batch(rows)
 
     return short_batches(docs).select("doc_id", "text").mapInArrow(run, OUT)
