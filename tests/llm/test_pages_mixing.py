@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from collections import defaultdict
 from html import unescape
 
@@ -7,6 +9,7 @@ from cases import clashing, documents, holds, rows
 from pyspark.sql import functions as F
 
 from tidebook.llm import html_main, mixing, queries, url_filter
+from tidebook.llm.staging import bounded_sample
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><a href="/">Home</a> The name of the site</header>
 <div class="cookie-notice">We use cookies on this site, please accept all of them now.</div><nav><ul><li><a href=x>One</a></li></ul></nav>
@@ -55,6 +58,56 @@ def test_long_marked_parts_are_left_out(part, tag):
         assert html_main.extract(f"<body>{part}</body>", weights).startswith("many words")
 
 
+@pytest.mark.parametrize("extra", ["<svg/>", "<iframe src=x/>", "<select/>", "<textarea />", "<script src=x />", "<svg><path d=m>", "<select><option>o"])
+def test_elements_that_close_themselves(extra):
+    for weights in (html_main.learn([]), html_main.learn([PAGE] * 5)):
+        assert html_main.extract(f"<article><p>A first one</p>{extra}<p>B the second</p></article>", weights) == "A first one\nB the second"
+
+
+MORE = [
+    # A related part longer than the article, teasers and comments that are articles themselves, an unclosed element, an unclosed comment.
+    ('<div class="related">' + LONG_PART + "</div><p>Five words make an article</p>", "Five words make an article"),
+    ("<article><p>The text of the page is here.</p></article><aside><article><p>" + "teaser of another page " * 20 + "</p></article></aside>", "The text of the page is here."),
+    ('<article><p>The text of the page is here.</p></article><div id="comments"><article class="comment"><p>' + "one long opinion " * 30 + "</p></article></div>", "The text of the page is here."),
+    ('<div><p>The text of the page is here.</p></div><article class="comment"><p>' + "one long opinion " * 30 + "</p></article>", "The text of the page is here."),
+    ("<article><div><iframe src=x>none</div><p>What comes after it stays.</p></article>", "What comes after it stays."),
+    ("<p>Before it all</p><!-- never closed <p>and after it too, all of these words</p>", "Before it all\nand after it too, all of these words"),
+    ('<p title="a > b">One <img alt=">" src=x> and two</p><p>3 < 4 and </ 5 > 4', "One and two\n3 < 4 and 4"),
+    ('<form><nav><article><p>The only article of this page.</p></article></nav></form>', "The only article of this page."),
+]
+
+
+@pytest.mark.parametrize("page,text", MORE)
+def test_main_text_of_parts(page, text):
+    for weights in (html_main.learn([]), html_main.learn([PAGE] * 5)):
+        assert html_main.extract(page, weights) == text
+
+
+@pytest.mark.parametrize("unit", ["<aaaa", "<a b='", '<a ">"', "<!--", "<script>", "<svg><div>", "<b>", "<nav>", "<b><svg><div></div>", "</p", "<div class='", "<![", "<a =\">\"", "<nav><article>x"])
+def test_pages_of_one_thing_take_little_time(unit):
+    page = "<p>word</p>" + unit * (300_000 // len(unit))
+    for text in (page, page + ">", page + '">'):
+        began = time.process_time()
+        html_main.extract(text, html_main.learn([]))
+        assert time.process_time() - began < 6
+
+
+def test_a_page_of_open_tags_takes_no_time():
+    began = time.process_time()
+    assert html_main.extract("<p>word</p>" + "<aaaa" * 200_000, html_main.learn([])) == "word"
+    assert time.process_time() - began < 1
+
+
+def test_training_is_bounded_whatever_the_ids(spark):
+    pages = spark.range(3000).selectExpr("cast(null as long) as page_id", "concat('<article>text ', id % 2500, '</article>') as html")
+    got = bounded_sample(pages, "html", None, 500, 10**9)
+    assert 300 < len(got) < 600 and len({r["html"] for r in got}) == len(got)
+    assert sum(len(r["html"]) for r in bounded_sample(pages, "html", None, 500, 3000)) < 6000
+    same = pages.withColumn("html", F.lit("<main>x</main>"))
+    assert len(bounded_sample(same, "html", None, 5000, 10**9)) == 1
+    assert bounded_sample(pages.limit(0), "html", None, 5, 5) == []
+
+
 def test_main_text_equals_the_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r["page_id"]: r for r in queries.op5_html_main_text(spark, "/root/testdata/sf0.01").collect()}
@@ -76,6 +129,13 @@ def test_best_region():
     assert html_main.best_region([-1, 2, -1, 3, -5, 1]) == (1, 4)
     assert html_main.best_region([-1, -2]) == html_main.best_region([]) == (0, 0)
     assert html_main.best_region([1, -3, 1]) == (0, 1)
+    rng = random.Random(4)
+    for _ in range(500):
+        scores = [rng.randrange(-4, 5) for _ in range(rng.randrange(12))]
+        runs = {(a, b): sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)}
+        most = max(runs.values(), default=0)
+        a, b = html_main.best_region(scores)
+        assert sum(scores[a:b]) == max(0, most) and (b > a) == (most > 0)
 
 
 # --- URL filters ---

@@ -16,16 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import short_batches, small
+from .staging import bounded_sample, short_batches, small
 
-#: Pages to learn weights from, at most (expected); chosen by hash over the whole table.
-TRAINING_PAGES = 1500
+#: Pages to learn weights from, and their characters, at most (expected); different pages chosen by hash over the whole table.
+TRAINING_PAGES, TRAINING_CHARS = 1500, 60_000_000
 OUT = "page_id long, url string, text string, n_chars long"
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s>/]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
-    re.S | re.I,
-)
-_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+#: A whole tag: a quoted value may hold any character. No part of it can be given back, so a search takes time in proportion to what it reads.
+_TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+>""")
+_CUT_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)[^>]*+>")
+_RAW_END = {n: re.compile(rf"</{n}\b[^>]*+>?", re.I) for n in ("script", "style")}
 _MARKS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 #: Parts of names in class, id or role that mark a part beside the article, those of reader comments apart.
 _BESIDE = frozenset(
@@ -35,7 +34,9 @@ _BESIDE = frozenset(
 _COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
 _SITE_HEADERS = frozenset("header site-header page-header top-header main-header global-header".split())
 _NEGATED = frozenset("has with no without not is".split())
-_BESIDE_TAGS = frozenset("nav aside footer form button head menu dialog".split())
+_BESIDE_TAGS = frozenset("nav aside footer form button head menu dialog noscript template svg iframe textarea select".split())
+#: Elements that a block cannot stand in: it ends them.
+_NO_BLOCKS = frozenset("svg select".split())
 _BLOCKS = frozenset("p div article section main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary hr body html head title center menu dialog".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = _BLOCKS - frozenset(["html", "head", "body", "title"])
@@ -58,101 +59,137 @@ def _mark(tag: str) -> str | None:
     return found
 
 
-class _Marked:
-    """An element that its tag or names mark as beside the article, and what it turned out to hold."""
+class _Part:
+    """An element that its tag or names mark as beside the article; article: whether an article or main element stands in it."""
+
+    def __init__(self, kind: str, parent: _Part | None):
+        self.kind, self.parent, self.article = kind, parent, False
+        self.comments = kind == "comments" or (parent is not None and parent.comments)
+        #: Set once the page is read: 2 if it is left out, 1 if only while anything else is text, 0 if it is not, and the kind of the outermost part left out.
+        self.level, self.top = 0, kind
+
+    def settle(self, lone: bool) -> None:
+        """lone: no article stands outside such parts, so one that holds an article is the page's frame."""
+        own = 2 if self.comments else 0 if lone and self.article else 1 if self.kind in ("form", "beside") else 2
+        self.level = own if self.parent is None else max(own, self.parent.level)
+        if self.parent is not None and self.parent.level:
+            self.top = self.parent.top
+
 
-    def __init__(self, kind: str, parent: _Marked | None):
-        self.kind, self.parent, self.words, self.article = kind, parent, 0, False
+def _pieces(page: str):
+    """Yield (name, piece) of a page in turn: text with no name, a tag with its name, '/name' to close; comments and scripts are left out.
 
-    def counts(self, total: int) -> int:
-        """2 if it is left out, 0 if it isn't as it holds an article, 1 for a form or a named part with half of the page's words: left out where anything else is the text."""
-        own = 0 if self.article else 2 if self.kind in ("comments", "tag") or 2 * self.words < total else 1
-        return own if self.parent is None else max(own, self.parent.counts(total))
+    A comment that never ends ends at its first '>'; so does a tag whose quoted values leave it without an end, and from there on every tag. A tag without '>' is
+    the rest of the page, and so is a script without its end. Time is in proportion to the page.
+    """
+    at, last, tag, closed, open_ended = 0, page.rfind(">"), _TAG, True, set()
+    while at < len(page):
+        low = page.find("<", at)
+        if low != at:
+            yield "", page[at : low if low >= 0 else len(page)]
+        if low < 0:
+            return
+        c, letter = page[low + 1 : low + 2], page[low + 1 : low + 3].removeprefix("/")[:1]
+        if c in ("!", "?") or (c == "/" and not (letter.isascii() and letter.isalpha())):
+            end = -1
+            if closed and page.startswith("<!--", low):
+                end = page.find("-->", low + 2)
+                closed = end >= 0
+                end += 3 if closed else 0
+            if end < 0:
+                end = page.find(">", low) + 1 if low < last else len(page)
+            at = end
+        elif letter.isascii() and letter.isalpha():
+            if low > last:
+                return
+            m = tag.match(page, low)
+            if m is None:
+                tag = _CUT_TAG
+                m = tag.match(page, low)
+            at, name = m.end(), m[1].lower()
+            if c != "/" and name in _RAW_END:
+                if not m[0].endswith("/>"):
+                    end = None if name in open_ended else _RAW_END[name].search(page, at)
+                    if end is None:
+                        open_ended.add(name)
+                        return
+                    at = end.end()
+            else:
+                yield ("/" + name if c == "/" else name), m[0]
+        else:
+            yield "", "<"
+            at = low + 1
 
 
 def tokens(page: str | None) -> list[tuple]:
-    """(kind, key, value, beside, labelled) of every token.
+    """(kind, key, value, beside, labelled, part) of every token.
 
-    kind 'w' is a run of text with its context as key, 't' a tag with its name ('/name' to close). beside: inside a part marked
-    as not the article, 2, or, 1, inside one that may yet be the page's text as it holds half of it and no article stands outside. labelled: inside an article or main element.
+    kind 'w' is a run of text with its context as key, 't' a tag with its name ('/name' to close). beside: 2 inside a part that is not the article, 1
+    inside one that may be the page's text where nothing else is (a form, or a part marked by its names); part: the kind of that part. labelled: inside an article or main
+    element. An element that closes itself is empty; an unclosed one ends with its parent.
     """
     out: list[tuple] = []
-    # Open elements: name, innermost marked element, whether inside an article, nearest block's name, whether inside a link.
-    stack: list[tuple[str, _Marked | None, bool, str, str]] = [("", None, False, "none", "")]
+    # Open elements: name, innermost part, whether inside an article, nearest block's name, whether inside a link, place of the nearest block.
+    stack: list[tuple[str, _Part | None, bool, str, str, int]] = [("", None, False, "none", "", 0)]
     open_names: Counter = Counter()
-    total = 0
+    parts: list[_Part] = []
+    lone = True
 
     def shut(at: int) -> None:
         for entry in stack[at:]:
             open_names[entry[0]] -= 1
         del stack[at:]
 
-    def nearest_block() -> int:
-        at = len(stack) - 1
-        while at and stack[at][0] not in _BLOCKS:
-            at -= 1
-        return at
-
-    for m in _TOKEN.finditer(page or ""):
-        tok = m[0]
-        _, marked, inside, block, link = stack[-1]
-        if tok[0] != "<" or len(tok) == 1:
-            n = len(_WORD.findall(tok))
-            over = marked
-            while over is not None:
-                over.words += n
-                over = over.parent
-            total += n if not open_names["head"] else 0
-            out.append(("w", (block, link), tok, marked, inside))
+    for name, piece in _pieces(page or ""):
+        _, part, inside, block, link, _ = stack[-1]
+        if not name:
+            out.append(("w", (block, link), piece, part, inside))
             continue
-        if m[1] or tok[1] in "!?":
-            continue
-        name = _NAME.match(tok)[1].lower()
-        if tok[1] == "/":
-            out.append(("t", "/" + name, tok, marked, inside))
-            if open_names[name] > 0:
-                shut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name))
+        if name[0] == "/":
+            out.append(("t", name, piece, part, inside))
+            if open_names[name[1:]] > 0:
+                shut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name[1:]))
             continue
         if name not in _VOID:
             # A new block ends an open paragraph, and a new item the open item; inline elements left open end with them.
+            while name in _BLOCKS and any(open_names[n] > 0 for n in _NO_BLOCKS):
+                shut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in _NO_BLOCKS))
             ends = ({"p"} if name in _ENDS_P else set()) | _IMPLIED.get(name, set())
-            at = nearest_block()
-            while ends and at and stack[at][0] in ends:
-                shut(at)
-                at = nearest_block()
-            _, marked, inside, block, link = stack[-1]
-            if name in ("article", "main"):
-                inside, over = True, marked
-                while over is not None:
-                    over.article = True
-                    over = over.parent
-            elif name in _BESIDE_TAGS or (name == "header" and not inside):
-                marked = _Marked("form" if name == "form" else "tag", marked)
-            elif name not in ("html", "body") and "=" in tok and (kind := _mark(tok)):
-                marked = _Marked(kind, marked)
-            if name in _BLOCKS and name not in ("article", "main", "section"):
-                block = name
-            stack.append((name, marked, inside, block, "a" if name == "a" else link))
-            open_names[name] += 1
-        out.append(("t", name, tok, marked, inside))
-    known: dict[int, int] = {}
-    for i, (kind, key, value, marked, inside) in enumerate(out):
-        if marked is not None and id(marked) not in known:
-            known[id(marked)] = marked.counts(total)
-        out[i] = (kind, key, value, 0 if marked is None else known[id(marked)], inside)
-    if 1 in known.values() and any(kind == "w" and inside and not beside and value.strip() for kind, _, value, beside, inside in out):
-        out = [(kind, key, value, 2 * bool(beside), inside) for kind, key, value, beside, inside in out]
-    return out
+            while ends and stack[-1][5] and stack[stack[-1][5]][0] in ends:
+                shut(stack[-1][5])
+            _, part, inside, block, link, place = stack[-1]
+            kind = _mark(piece) if name not in ("html", "body") and "=" in piece else None
+            if name in ("article", "main") and kind != "comments":
+                if part is None or not part.comments:
+                    inside, over = True, part
+                    lone &= part is not None
+                    while over is not None and not over.article:
+                        over.article = True
+                        over = over.parent
+            elif name in _BESIDE_TAGS or (name == "header" and not inside) or kind:
+                kind = "form" if name == "form" else "tag" if name in _BESIDE_TAGS or name == "header" else kind
+                part = _Part(kind, part)
+                parts.append(part)
+            if name in _BLOCKS:
+                place = len(stack)
+                block = block if name in ("article", "main", "section") else name
+            if not piece.endswith("/>"):
+                stack.append((name, part, inside, block, "a" if name == "a" else link, place))
+                open_names[name] += 1
+        out.append(("t", name, piece, part, inside))
+    for part in parts:
+        part.settle(lone)
+    return [(kind, key, value, part.level if part else 0, inside, part.top if part and part.level else None) for kind, key, value, part, inside in out]
 
 
 class Weights:
-    """Score of a word by its context and of a tag by its name; tags never score above TAG_MOST."""
+    """Score of a word by its context, of a tag by its name and of a whole marked part by its kind; tags never score above TAG_MOST, parts never above PART_MOST."""
 
-    TAG_MOST = -0.05
-    WORD_ELSE, TAG_ELSE, MARKED = 1.0, -0.3, -1.0
+    TAG_MOST, PART_MOST = -0.05, -0.5
+    WORD_ELSE, TAG_ELSE, PART_ELSE = 1.0, -0.3, -1.0
 
-    def __init__(self, words: dict, tags: dict):
-        self.words, self.tags = words, tags
+    def __init__(self, words: dict, tags: dict, parts: dict | None = None):
+        self.words, self.tags, self.parts = words, tags, parts or {}
 
     def word(self, key: tuple) -> float:
         if key in self.words:
@@ -162,27 +199,36 @@ class Weights:
     def tag(self, name: str) -> float:
         return self.tags.get(name, self.TAG_ELSE)
 
+    def part(self, kind: str) -> float:
+        return self.parts.get(kind, self.PART_ELSE)
+
 
 def learn(pages: list[str]) -> Weights:
-    """Log odds of words and tags within the labelled article against outside, marked parts apart; pages without one article element are skipped."""
+    """Log odds of words, tags and marked parts within the labelled article against outside; pages without one article element are skipped."""
     inside, outside = Counter(), Counter()
     for page in pages:
         toks = tokens(page)
         if not any(t[4] for t in toks):
             continue
-        for kind, key, value, beside, labelled in toks:
-            if beside < 2:
+        before = None
+        for kind, key, value, _, labelled, part in toks:
+            if part is None:
                 (inside if labelled else outside)[kind, key] += len(_WORD.findall(value)) if kind == "w" else 1
-    words, tags = {}, {}
+            elif part != before:
+                (inside if labelled else outside)["p", part] += 1
+            before = part
+    words, tags, parts = {}, {}, {}
     for kind, key in {*inside, *outside}:
-        odds = math.log((inside[kind, key] + 0.5) / (outside[kind, key] + 0.5))
+        odds = max(-4.0, min(4.0, math.log((inside[kind, key] + 0.5) / (outside[kind, key] + 0.5))))
         if inside[kind, key] + outside[kind, key] < 5:
             continue
         if kind == "w":
-            words[key] = max(-4.0, min(4.0, odds))
+            words[key] = odds
+        elif kind == "t":
+            tags[key] = min(Weights.TAG_MOST, odds)
         else:
-            tags[key] = max(-4.0, min(Weights.TAG_MOST, odds))
-    return Weights(words, tags)
+            parts[key] = min(Weights.PART_MOST, odds)
+    return Weights(words, tags, parts)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -198,14 +244,14 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def _region(toks: list[tuple], weights: Weights) -> tuple[int, int]:
-    scores, before = [], False
-    for kind, key, value, beside, _ in toks:
+    scores, before = [], None
+    for kind, key, value, beside, _, part in toks:
         if beside:
             # A marked part costs the same however long it is: it is left out of the text, and mustn't split an article around it.
-            scores.append(0.0 if before else weights.MARKED)
+            scores.append(0.0 if before == part else weights.part(part))
         else:
             scores.append(len(_WORD.findall(value)) * weights.word(key) if kind == "w" else weights.tag(key))
-        before = beside
+        before = part if beside else None
     return best_region(scores)
 
 
@@ -214,8 +260,8 @@ def extract(page: str | None, weights: Weights) -> str:
     toks = tokens(page)
     a, b = _region(toks, weights)
     if a == b and any(t[3] == 1 for t in toks):
-        # Nothing else is running text: the large marked parts are the page.
-        toks = [(kind, key, value, 2 * (beside == 2), labelled) for kind, key, value, beside, labelled in toks]
+        # Nothing else is running text: the forms and named parts are the page.
+        toks = [(*t[:3], 2 * (t[3] == 2), *t[4:]) for t in toks]
         a, b = _region(toks, weights)
     if b > a:
         # Whole blocks: a region never starts or ends inside one.
@@ -231,7 +277,7 @@ def extract(page: str | None, weights: Weights) -> str:
         if said:
             blocks.append(said)
 
-    for kind, key, value, beside, _ in toks[a:b]:
+    for kind, key, value, beside, *_ in toks[a:b]:
         if kind == "t":
             if key.lstrip("/") in _BLOCKS:
                 end()
@@ -243,12 +289,10 @@ def extract(page: str | None, weights: Weights) -> str:
     return "\n".join(blocks)
 
 
-def train(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> Weights:
+def train(pages: DataFrame, training_pages: int = TRAINING_PAGES, training_chars: int = TRAINING_CHARS) -> Weights:
     """Weights from the pages (page_id, html) that mark their article with an element of their own, a sample bounded by hash."""
-    labelled = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b")).select("page_id", "html")
-    n = max(1, labelled.count())
-    keep = F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) < int(min(1.0, training_pages / n) * (1 << 30))
-    return learn([r["html"] for r in labelled.where(keep).collect()])
+    labelled = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b")).select("html")
+    return learn([r["html"] for r in bounded_sample(labelled, "html", None, training_pages, training_chars)])
 
 
 def main_text(pages: DataFrame, weights: Weights) -> DataFrame:

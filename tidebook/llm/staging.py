@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.staging import cut, ensure_checkpoint_dir
@@ -60,6 +60,23 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def bounded_sample(rows: DataFrame, text: str, group: str | None, most_rows: int, most_chars: int) -> list[Row]:
+    """Different texts of rows, (group,) text, sorted: of each value of group (or of all) at most so many rows and characters (expected), chosen by a hash of the text.
+
+    The choice depends on the texts alone, never on ids, and rows of equal group and text are one before they are collected, so neither many copies nor a column of nulls
+    pass the bound. A text of more characters than most_chars is never chosen. For groups of few values: their counts reach the driver.
+    """
+    keys = [group] if group else []
+    rows = rows.where(F.col(text).isNotNull() & (F.length(text) <= most_chars)).select(*keys, text)
+    bucket = F.pmod(F.xxhash64(text, F.lit(17)), F.lit(1 << 30))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n_"), F.sum(F.length(text)).alias("c_")).collect()
+    limit = F.lit(0)
+    for r in counts:
+        share = int(min(1.0, most_rows / max(1, r["n_"]), most_chars / max(1, r["c_"] or 0)) * (1 << 30))
+        limit = F.when(F.col(group).eqNullSafe(F.lit(r[group])), share).otherwise(limit) if group else F.lit(share)
+    return sorted(rows.where(bucket < limit).distinct().collect(), key=lambda r: tuple((x is None, x) for x in r))
+
+
 #: Rows of whole texts in an Arrow batch. Spark's default is made for short rows.
 BATCH_ROWS = 1000
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
