@@ -6,6 +6,7 @@ from html import unescape
 
 import pytest
 from cases import clashing, documents, holds, rows
+from oracle import same
 from pyspark.sql import functions as F
 
 from tidebook.llm import html_main, mixing, queries, url_filter
@@ -162,7 +163,7 @@ def test_urls_equal_a_plain_reading(spark):
 
 def test_mined_rules_equal_counting(spark):
     """Every combination of tokens, counted by hand, gives the rules; the surest decides."""
-    from itertools import combinations
+    from itertools import combinations, product
 
     urls = [f"http://{h}.org/{p}/{i % 3}" for i, (h, p) in enumerate([("spam-farm", "a"), ("spam-farm", "b"), ("good", "a"), ("good", "b"), ("odd", "a"), ("odd", "b")] * 6)]
     urls = [f"{u}{i}" for i, u in enumerate(urls)]
@@ -179,11 +180,45 @@ def test_mined_rules_equal_counting(spark):
     n = len(urls)
     full = {(c, v): m / count[c] for (c, v), m in with_v.items() if m / n >= 0.1 and m / count[c] >= 0.8}
     kept = {(c, v) for (c, v), f in full.items() if not any(w == v and set(d) < set(c) and g >= f - 0.01 for (d, w), g in full.items())}
-    assert {(tuple(sorted(r["items"])), r["mined"]) for r in rules.collect()} == kept
+    got = [(c, r["mined"]) for r in rules.collect() for c in product(*r["items"])]
+    assert {(tuple(sorted(c)), v) for c, v in got} == kept and len(got) == len(kept)
     matched = {r["url"]: r["mined"] for r in url_filter.match_rules(base.select("url", "tokens"), rules).collect()}
     assert all(matched[u] == verdict(u) for u in urls)
 
 
+def test_long_common_slugs(spark):
+    """A slug of many words, whether all URLs have it, or each half with a word of its own, adds no combinations."""
+    slug = "-".join(f"w{k}" for k in range(30))
+    plain = [(i, f"http://s{i % 7}.{['net', 'org', 'com'][i % 3]}/{['fr', 'en', 'de'][i % 4 % 3]}/{{}}x{i}") for i in range(200)]
+    took = {}
+    for name, word in (("none", ""), ("one", slug + "-"), ("none again", ""), ("some", slug + "-")):
+        pages = spark.createDataFrame([(i, u.format(word if name != "some" else "-".join(w for k, w in enumerate(word.split("-")) if (i * 7 + k) % 11))) for i, u in plain], "page_id long, url string")
+        began = time.time()
+        assert len(url_filter.judge(pages).collect()) == 200
+        took[name] = time.time() - began
+    assert max(took["one"], took["some"]) < 3 * took["none again"] + 10
+
+
+def test_items_beyond_the_bound_keep_their_own_rules(spark):
+    urls = [(f"http://h.org/{'/'.join(f't{k}' for k in range(15) if (i >> k % 5) % 2 or k == i % 15)}/n{i}", "block" if i % 4 else "allow") for i in range(64)]
+    base = url_filter.url_parts(spark.createDataFrame(urls, "url string, verdict string")).withColumn("tokens", url_filter.tokens())
+    rules = url_filter.mine_rules(base, 0.05, 0.6, 0.01, combined=3).collect()
+    count, sure = defaultdict(int), defaultdict(int)
+    for r in base.collect():
+        for t in r["tokens"]:
+            count[t] += 1
+            sure[t, r["verdict"]] += 1
+    want = {(t, v) for (t, v), m in sure.items() if m >= 4 and m / count[t] >= 0.6}
+    assert {(t, r["mined"]) for r in rules if r["n_items"] == 1 for t in r["items"][0]} == want
+    assert max(r["n_items"] for r in rules) <= 3
+
+
+def test_listed_parts_equal_sql(spark, sf):
+    same(url_filter.listed_parts(spark.read.parquet(f"{sf}/pages.parquet")), url_filter.ORACLE, sf)
+    got = {r["page_id"]: tuple(r)[1:4] for r in url_filter.listed_parts(spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")).collect()}
+    assert got == {i: plain_verdict(u)[:3] for i, u in enumerate(URLS)}
+
+
 def test_urls_of_odd_rows(spark):
     df = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/"), (2, None), (None, "http://b.org/x"), (4, "http://" + "a." * 5000 + "org/" + "p/" * 5000)] + [(9, "http://same.com/en/1")] * 40, "page_id long, url string")
     holds(url_filter.judge, df)

@@ -63,6 +63,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
 
+def listed_url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_url_filter that SQL can express."""
+    return url_filter.listed_parts(_table(spark, sf_dir, "pages"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -73,7 +78,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_language_id, op3_fingerprints, op4_jaccard_join, op5_html_main_text,
-        op6_media_columns, op7_toxicity, op8_source_mixing, op9_packing, op10_url_filter,
+        op6_media_columns, op7_toxicity, op8_source_mixing, op9_packing, op10_url_filter, listed_url_parts,
     )
 }
-ORACLE = {"op1_license_scan": license_scan.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op8_source_mixing": mixing.ORACLE}
+ORACLE = {"op1_license_scan": license_scan.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op8_source_mixing": mixing.ORACLE, "listed_url_parts": url_filter.ORACLE}
