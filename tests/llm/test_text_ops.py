@@ -158,8 +158,14 @@ def test_fingerprints_of_odd_rows(spark):
 # --- join ---
 
 
-def brute_components(texts):
-    sets = {i: shingle_set(t, 4) for i, t in texts.items()}
+def brute_links(texts, k=4, percent=85):
+    sets = {i: shingle_set(t, k) for i, t in texts.items()}
+    ids = sorted(sets)
+    return {(i, j) for n, i in enumerate(ids) for j in ids[n + 1 :] if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+
+
+def brute_components(texts, k=4, percent=85):
+    sets = {i: shingle_set(t, k) for i, t in texts.items()}
     comp = {i: i for i in sets}
 
     def root(i):
@@ -167,17 +173,13 @@ def brute_components(texts):
             i = comp[i]
         return i
 
-    ids = sorted(sets)
-    for k, i in enumerate(ids):
-        for j in ids[k + 1 :]:
-            a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
-                x, y = sorted((root(i), root(j)))
-                comp[y] = x
-    return {i: (len(sets[i]), root(i)) for i in ids}
+    for i, j in sorted(brute_links(texts, k, percent)):
+        x, y = sorted((root(i), root(j)))
+        comp[y] = x
+    return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-def test_join_equals_brute_force(spark):
+def families():
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = {}
@@ -193,9 +195,50 @@ def test_join_equals_brute_force(spark):
                 w[at : at + rng.choice([0, 1])] = [rng.choice(vocabulary)]
             texts[len(texts)] = (" " if rng.random() < 0.5 else "\t").join(w)
     texts[len(texts)] = ""
+    return texts
+
+
+@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80), (1, 60)])
+def test_join_equals_brute_force(spark, k, percent):
+    texts = families()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(df).collect()}
-    assert got == brute_components(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join_components(df, percent, k).collect()}
+    assert got == brute_components(texts, k, percent)
+
+
+def test_links_equal_brute_force(spark):
+    texts = families()
+    df = spark.createDataFrame([*texts.items(), (None, texts[0]), (None, "of no number at all"), (3, texts[3])], "doc_id long, text string")
+    links, members = jaccard_join.join_links(df)
+    rid = {r["doc_id"]: r["rid"] for r in members.where("doc_id is not null").collect()}
+    assert members.count() == df.count() and set(rid) == set(texts)
+    # Equal sets share a representative; each link between representatives is there once.
+    want = {(i, j) for i, j in brute_links(texts) if rid[i] == i and rid[j] == j}
+    assert sorted(tuple(r) for r in links.collect()) == sorted(want)
+    assert all(shingle_set(texts[i], 4) == shingle_set(texts[r], 4) for i, r in rid.items() if texts[i])
+
+
+def thue_morse(n, swap):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_words_that_defeat_polynomial_hashes(spark):
+    words = [thue_morse(2048, 0), thue_morse(2048, 1)]
+    (a, b), (c, d) = wordhash.shingle_pairs(words, 4)
+    assert a[0] != c[0] and b[0] != d[0]
+    df = spark.createDataFrame([(1, words[0]), (2, words[1]), (3, words[0].upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join_components(df).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_exact_sets_equal_split_words():
+    rng = random.Random(2)
+    texts = [t or "" for t in SAMPLES] + [" ".join(rng.choice(["the", "and", "of", "To", "x"]) for _ in range(rng.randrange(40))) for _ in range(200)]
+    for k in (1, 2, 4, 5):
+        sets, want = wordhash.exact_sets(texts, k), [shingle_set(t, k) for t in texts]
+        for i in range(0, len(texts), 7):
+            for j in range(len(texts)):
+                assert len(np.intersect1d(sets[i], sets[j])) == len(want[i] & want[j])
+    assert [len(x) for x in wordhash.exact_sets(["", " "], 4)] == [0, 0]
 
 
 def test_join_in_small_parts(spark, monkeypatch):
@@ -228,15 +271,16 @@ def test_tree_search_loses_nothing():
         assert sorted(tree.search(pts[i], ns[i]).tolist()) == want.tolist()
 
 
-def test_bands_keep_an_equal_group():
-    bands = jaccard_join.Bands()
-    assert bands.of(5) == [] and bands.least == 6
-    for n in range(6, 3000, 7):
-        for m in range(n, int(n / 0.85) + 1):
+@pytest.mark.parametrize("percent,least", [(85, 6), (80, 4)])
+def test_bands_keep_an_equal_group(percent, least):
+    bands = jaccard_join.Bands(percent)
+    assert bands.of(least - 1) == [] and bands.least == least
+    for n in range(least, 3000, 7):
+        for m in range(n, 100 * n // percent + 1):
             shared = [b for b in bands.of(n) if b in bands.of(m)]
             assert shared
             for b in shared:
-                differ = (n + m) * 15 // 185
+                differ = (n + m) * (100 - percent) // (100 + percent)
                 assert bands.groups[b] - differ > bands.spare(b, n) + bands.spare(b, m)
 
 

@@ -3,18 +3,18 @@
 The distinct 4-word shingles of a text are hashed into groups. Two texts that are alike enough differ in so few
 shingles that some group must be equal in both, which deals texts into blocks by (group, its content) without losing a pair. The counts of the
 groups make every text a point; the overlap of two texts is at most the sum of the smaller coordinates. R-trees over
-the points of a block find what this bound leaves together, and in these clusters the shingle sets of surviving pairs are compared exactly.
+the points of a block find what this bound leaves together, and in these clusters the shingles of surviving pairs are compared exactly, by their words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import components, cut, release, short_batches, small
-from .wordhash import mix, shingles
+from .staging import components, cut, drop, short_batches, small
+from .wordhash import exact_sets, mix, shingle_pairs
 
 SHINGLE = 4
 PERCENT = 85
@@ -119,30 +119,30 @@ class RTree:
         return self.order[at]
 
 
-def _set_columns(percent: int, full: bool):
+SETS = "doc_id long, n long, s1 long, s2 long, keys array<long>, point binary"
+
+
+def _set_columns(percent: int, shingle: int):
+    """SETS of (doc_id, text): the size of a text's set, 128 bits that name it (sums of two independent hashes of its shingles), its block keys and its point."""
     bands = Bands(percent)
 
     def run(batches):
         for b in small(batches):
             ids, ns, s1, s2, offs, keys, points = [], [], [], [], [0], [], []
-            for i, h in zip(b.column(0).to_pylist(), shingles(b.column(1).to_pylist(), SHINGLE), strict=True):
-                u = np.unique(h)
+            for i, (h, h2) in zip(b.column(0).to_pylist(), shingle_pairs(b.column(1).to_pylist(), shingle), strict=True):
+                u, at = np.unique(h, return_index=True)
                 ids.append(i)
                 ns.append(len(u))
                 s1.append(int(mix(u).sum(dtype=np.uint64).view(np.int64)))
-                s2.append(int(mix(u ^ _C1).sum(dtype=np.uint64).view(np.int64)))
-                if full:
-                    k = block_keys(u, bands)
-                    keys.append(k)
-                    offs.append(offs[-1] + len(k))
-                    points.append(point(u, bands.bits(len(u))).astype("<i4").tobytes() if len(k) else b"")
+                s2.append(int(mix(h2[at]).sum(dtype=np.uint64).view(np.int64)))
+                k = block_keys(u, bands)
+                keys.append(k)
+                offs.append(offs[-1] + len(k))
+                points.append(point(u, bands.bits(len(u))).astype("<i4").tobytes() if len(k) else b"")
+            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())
             cols = [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())]
-            names = ["doc_id", "n", "s1", "s2"]
-            if full:
-                flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())
-                cols += [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), flat), pa.array(points, pa.binary())]
-                names += ["keys", "point"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            cols += [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), flat), pa.array(points, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SETS.split(", ")])
 
     return run
 
@@ -208,13 +208,17 @@ def _block_links(percent: int):
     return links
 
 
-def _exact_links(percent: int):
-    """For rows (rid, s) of a cluster's part: links between alike sets, a spanning forest of them."""
+def _exact_links(percent: int, shingle: int, spanning: bool):
+    """For rows (rid, text) of a cluster's part: links between alike sets, all of them or a spanning forest.
+
+    The words themselves are compared: their shingles are numbered exactly within the part.
+    """
 
     def links(rows):
+        sets = exact_sets([r[1] for r in rows], shingle) if len(rows) > 1 else []
+        rows, sets = [r for r, u in zip(rows, sets, strict=False) if len(u)], [u for u in sets if len(u)]
         if len(rows) < 2:
             return
-        sets = [np.frombuffer(r[1], "<u8") for r in rows]
         ns = np.array([len(u) for u in sets])
         bits = Bands(percent).bits(int(np.median(ns)))
         pts = np.stack([point(u, bits) for u in sets])
@@ -231,8 +235,13 @@ def _exact_links(percent: int):
             both = np.add.reduceat((u[at] == joined).astype(np.int64), np.concatenate(([0], np.cumsum(ns[found])[:-1])))
             return found[alike(both, ns[x], ns[found], percent)]
 
-        for x, y in forest(np.arange(len(rows)), partners):
-            yield rows[x][0], rows[y][0]
+        if spanning:
+            for x, y in forest(np.arange(len(rows)), partners):
+                yield rows[x][0], rows[y][0]
+            return
+        for x in range(len(rows)):
+            for y in partners(x, np.arange(len(rows)) > x).tolist():
+                yield tuple(sorted((rows[x][0], rows[y][0])))
 
     return links
 
@@ -256,93 +265,114 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _parts(members: DataFrame, group: str, weight, most: int, percent: int) -> DataFrame:
-    """(group, i, j, rid) of members (group, rid, n): each group cut, in order of set size, into nodes of weight most, and each two nodes that sizes let
-    be alike in a part (i, j) of their own. A task so holds two nodes at once, however large the group."""
-    w = Window.partitionBy(group).orderBy("n", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    m = members.select(group, "rid", "n").withColumn("node", F.floor((F.sum(weight).over(w) - 1) / most).cast("long"))
+    """(group, i, j, rid) of members (group, rid, n): each group cut, by set size, into nodes of about weight most, and each two nodes that sizes let
+    be alike in a part (i, j) of their own. A task so holds two nodes at once, however large the group.
+
+    The weights of a group's sizes are added up, one row a size; sets of one size that weigh more than a node are dealt among several by a hash.
+    """
+    upto = Window.partitionBy(group).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sized = members.groupBy(group, "n").agg(F.sum(weight).alias("w_")).withColumn("ahead_", F.coalesce(F.sum("w_").over(upto), F.lit(0)))
+    sized = sized.select(F.col(group).alias("g_"), F.col("n").alias("n_"), F.floor(F.col("ahead_") / most).cast("long").alias("at_"), F.ceil(F.col("w_") / most).cast("long").alias("of_"))
+    m = members.select(group, "rid", "n").join(sized, (F.col(group) == F.col("g_")) & (F.col("n") == F.col("n_")))
+    m = m.select(group, "rid", "n", (F.shiftleft("at_", 31) + F.pmod(F.xxhash64("rid"), "of_")).alias("node"))
     nodes = m.groupBy(group, "node").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = nodes.select(F.col(group).alias("g_"), F.col("node").alias("j"), F.col("lo").alias("lo_"))
-    meet = (F.col(group) == F.col("g_")) & (F.col("node") <= F.col("j")) & (100 * F.col("hi") >= percent * F.col("lo_"))
+    other = nodes.select(F.col(group).alias("g_"), F.col("node").alias("j"), F.col("lo").alias("lo_"), F.col("hi").alias("hi_"))
+    meet = (F.col(group) == F.col("g_")) & (F.col("node") <= F.col("j")) & (100 * F.col("hi") >= percent * F.col("lo_")) & (100 * F.col("hi_") >= percent * F.col("lo"))
     pairs = nodes.join(other, meet).select(group, F.col("node").alias("i"), "j")
     ends = pairs.withColumn("node", F.explode(F.array_distinct(F.array("i", "j"))))
     return m.join(ends, [group, "node"]).select(group, "i", "j", "rid")
 
 
-def _verified(clusters: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the texts of each cluster (rid, c, n) whose sets are alike: a spanning forest of each part.
+def _verified(clusters: DataFrame, docs: DataFrame, percent: int, shingle: int, spanning: bool = True) -> DataFrame:
+    """Links (a, b) between the texts of each cluster (rid, c, n) whose sets are alike: all, or a spanning forest of each part.
 
     A cluster is compared in parts of PART shingles; nearly all are one part.
     """
-    clusters = cut(clusters)
     dealt = _parts(clusters, "c", F.col("n"), PART, percent)
-
-    def sets(batches):
-        for b in small(batches):
-            found = [np.unique(h).astype("<u8").tobytes() for h in shingles(b.column(1).to_pylist(), SHINGLE)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["rid", "s"])
-
-    ids = clusters.select("rid").distinct()
-    found = docs.select(F.col("doc_id").alias("rid"), "text").join(ids, "rid").dropDuplicates().mapInArrow(sets, "rid long, s binary")
-    dealt = dealt.join(found, "rid").select("c", "i", "j", "rid", "s").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "rid")
-    return dealt.mapInArrow(lambda batches: _grouped(batches, 3, _exact_links(percent)), "a long, b long")
-
-
-def join_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    # Of a number with several texts each is compared; the texts of its copies are one.
+    texts = docs.select(F.col("doc_id").alias("rid"), "text").where("text is not null").join(clusters.select("rid").distinct(), "rid").distinct()
+    dealt = dealt.join(texts, "rid").select("c", "i", "j", "rid", "text").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "rid")
+    found = dealt.mapInArrow(lambda batches: _grouped(batches, 3, _exact_links(percent, shingle, spanning)), "a long, b long")
+    return found.where("a <> b").distinct()
+
+
+class Classes:
+    """The tables that the join's steps share: members (doc_id, n, s1, s2) of every row, reps (rid, n, s1, s2, point) of every different set, and clusters (rid, c, n) that hold every linked pair."""
+
+    def __init__(self, docs: DataFrame, percent: int, shingle: int):
+        texts = short_batches(docs).select("doc_id", "text")
+        full = cut(texts.mapInArrow(_set_columns(percent, shingle), SETS))
+        self.members = cut(full.select("doc_id", "n", "s1", "s2"))
+        reps = full.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rid"), F.first("keys").alias("keys"), F.first("point").alias("point"))
+        self.reps = cut(reps)
+        drop(full)
+
+        # A doc_id with several texts has a row for each here; it is one node of every graph below.
+        keyed = self.reps.where("rid is not null").select(F.explode("keys").alias("key"), "rid")
+        hubs = cut(keyed.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").cast("int").alias("m")).where("m > 1"))
+        blocks = cut(keyed.join(hubs, "key").where("m > 2 or rid <> hub").select("key", "rid", "hub", "m"))
+        drop(hubs)
+        stars = blocks.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
+        near = cut(_bounded(stars, self.reps, percent).distinct())
+        comp = cut(components(near).withColumnsRenamed({"node": "rid", "component": "c"}))
+        members = blocks.where("m > 2").join(comp, "rid", "left").select("key", "rid", "m", F.coalesce("c", "rid").alias("c"))
+        several = members.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+        members = cut(members.join(several, "key"))
+        drop(blocks, comp)
+        large = _parts(members.where(F.col("m") > BLOCK).join(self.reps.select("rid", "n"), "rid"), "key", F.lit(1), BLOCK, percent)
+        large = large.join(members.select("key", "rid", "c"), ["key", "rid"]).select("key", "i", "j", "rid", "c")
+        zero = F.lit(0).cast("long")
+        dealt = members.where(F.col("m") <= BLOCK).select("key", zero.alias("i"), zero.alias("j"), "rid", "c").union(large)
+        dealt = dealt.join(self.reps.select("rid", "n", "point"), "rid").select("key", "i", "j", "rid", "n", "c", "point")
+        dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rid")
+        found = cut(near.union(dealt.mapInArrow(lambda batches: _grouped(batches, 3, _block_links(percent)), "a long, b long")))
+        drop(members, near)
+        comp = components(found).withColumnsRenamed({"node": "rid", "component": "c"})
+        self.clusters = cut(comp.join(self.reps.groupBy("rid").agg(F.sum("n").alias("n")), "rid"))
+        drop(found)
+
+
+def join_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
-    Words are runs of other bytes than 0x20 and 0x09-0x0D, with A-Z as a-z; a text's set is its distinct 4-word shingles, or its whole
+    Words are runs of other bytes than 0x20 and 0x09-0x0D, with A-Z as a-z; a text's set is its distinct shingles of so many words, or its whole
     sequence if it has fewer words. Texts link when 100 * intersection >= percent * union. component_id is the least
     doc_id reached by links. A null text, an empty one and one without words have 0 shingles and link with nothing. Rows that share a doc_id
     are one document, which links as each of its texts does. A row with null doc_id
     is reached through its text's other rows only, and is its own, null, component without them. An empty table gives no rows.
 
     Blocks whose members the bound joins through their hub, the least document, are settled in one linear pass; the members of others are searched in the
-    block's R-tree. Both only yield links that join components, so a block or cluster of n texts never gives more than n - 1 rows.
+    block's R-tree. Both only yield links that join components, so a block or cluster of n texts never gives more than n - 1 rows. Texts are read
+    twice: for their sets, and where they are in a cluster for their words.
     """
-    spark: SparkSession = docs.sparkSession
-    texts = short_batches(docs).select("doc_id", "text")
-    full = texts.mapInArrow(_set_columns(percent, True), "doc_id long, n long, s1 long, s2 long, keys array<long>, point binary")
-    reps = full.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rid"), F.first("keys").alias("keys"), F.first("point").alias("point"))
-    reps = cut(reps)
-    release(spark)
-
-    # A doc_id with several texts has a row for each here; it is one node of every graph below.
-    keyed = reps.where("rid is not null").select(F.explode("keys").alias("key"), "rid")
-    hubs = keyed.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").cast("int").alias("m")).where("m > 1")
-    blocks = cut(keyed.join(hubs, "key").where("m > 2 or rid <> hub").select("key", "rid", "hub", "m"))
-    release(spark)
-    stars = blocks.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-    near = cut(_bounded(stars, reps, percent).distinct())
-    comp = cut(components(near).withColumnsRenamed({"node": "rid", "component": "c"}))
-    members = blocks.where("m > 2").join(comp, "rid", "left").select("key", "rid", "m", F.coalesce("c", "rid").alias("c"))
-    several = members.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    members = cut(members.join(several, "key"))
-    large = _parts(members.where(F.col("m") > BLOCK).join(reps.select("rid", "n"), "rid"), "key", F.lit(1), BLOCK, percent)
-    large = large.join(members.select("key", "rid", "c"), ["key", "rid"]).select("key", "i", "j", "rid", "c")
-    zero = F.lit(0).cast("long")
-    dealt = members.where(F.col("m") <= BLOCK).select("key", zero.alias("i"), zero.alias("j"), "rid", "c").union(large)
-    dealt = dealt.join(reps.select("rid", "n", "point"), "rid").select("key", "i", "j", "rid", "n", "c", "point")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rid")
-    near = near.union(dealt.mapInArrow(lambda batches: _grouped(batches, 3, _block_links(percent)), "a long, b long"))
-    comp = components(near).withColumnsRenamed({"node": "rid", "component": "c"})
-    links = cut(_verified(comp.join(reps.select("rid", "n"), "rid"), docs, percent).distinct())
-    release(spark)
-
+    t = Classes(docs, percent, shingle)
+    links = cut(_verified(t.clusters, docs, percent, shingle))
     # Texts of one doc_id are linked through it: classes that meet in a document.
-    classes = reps.select("s1", "s2", "rid")
-    members = texts.mapInArrow(_set_columns(percent, False), "doc_id long, n long, s1 long, s2 long")
-    members = cut(members)
-    shared = members.where("n > 0 and doc_id is not null").select("doc_id", "s1", "s2").distinct()
+    classes = t.reps.select("s1", "s2", "rid")
+    shared = t.members.where("n > 0 and doc_id is not null").select("doc_id", "s1", "s2").distinct()
     twice = shared.groupBy("doc_id").count().where("count > 1").select("doc_id")
     same = shared.join(twice, "doc_id").join(classes, ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rid").alias("b"))
     comp = components(links.union(same)).withColumnsRenamed({"node": "rid", "component": "c"})
-    classes = classes.join(comp, "rid", "left").select("s1", "s2", F.coalesce("c", "rid").alias("c"))
+    classes = cut(classes.join(comp, "rid", "left").select("s1", "s2", F.coalesce("c", "rid").alias("c")))
+    drop(t.reps, t.clusters, links)
     # A text with very many copies has one row in classes; adaptive execution splits its members.
-    known = members.where("n > 0").join(classes, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
-    none = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    known = t.members.where("n > 0").join(classes, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    none = t.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return known.union(none)
 
 
+def join_links(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(links, membership): every link (a, b), a < b, between representatives of different texts, and the representative rid of every row's text (doc_id, rid).
+
+    The representative of a text is the least doc_id that has it; a text that only rows without doc_id have has none, and no links. Rows and rules as in join_components. For a family of k mutually
+    alike texts this gives k * (k - 1) / 2 rows, where join_components needs k - 1.
+    """
+    t = Classes(docs, percent, shingle)
+    links = cut(_verified(t.clusters, docs, percent, shingle, spanning=False))
+    members = t.members.where("n > 0").join(t.reps.select("s1", "s2", "rid"), ["s1", "s2"], "left").select("doc_id", "rid")
+    return links, members.union(t.members.where("n = 0").select("doc_id", F.col("doc_id").alias("rid")))
+
+
 ORACLE = f"""
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i) WHERE len(w) > 0),

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.staging import cut, ensure_checkpoint_dir
+from ..operators.staging import cut, drop, ensure_checkpoint_dir, scratch
 
-__all__ = ["components", "cut", "ensure_checkpoint_dir", "release", "short_batches", "small"]
+__all__ = ["bounded_sample", "components", "cut", "drop", "ensure_checkpoint_dir", "scratch", "short_batches", "small"]
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -35,7 +32,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # Small star: u and its lower neighbours are joined to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        drop(old)
         row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         state = (row["n"], row["h"])
         if state == before:
@@ -49,17 +47,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files that no table refers to any more.
-
-    It does so when the driver collects its garbage, and needs two rounds: the first frees the plans, the second what only they held.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def bounded_sample(rows: DataFrame, text: str, group: str | None, most_rows: int, most_chars: int) -> list[Row]:
     """Different texts of rows, (group,) text, sorted: of each value of group (or of all) at most so many rows and characters (expected), chosen by a hash of the text.
 
@@ -85,7 +72,7 @@ _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def short_batches(df: DataFrame) -> DataFrame:
     """df, whose session sends BATCH_ROWS rows at once to Python unless it was told another number than Spark's default.
 
-    Batches lie in memory on both sides, outside the executor's heap.
+    Batches lie in memory on both sides, outside the executor's heap. Spark bounds them by bytes too (64 MB, or one row), which longer texts meet first.
     """
     conf = df.sparkSession.conf
     if conf.get(_ROWS_SETTING) == "10000":
