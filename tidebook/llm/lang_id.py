@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import short_batches, small
+from .staging import bounded_sample, short_batches, small
 
-#: Training rows of each language, at most (expected); chosen by hash over the whole table.
-ROWS_PER_LANGUAGE = 1000
+#: Different texts of each language to learn from, and characters of all languages, at most (expected); chosen by hash over the whole table.
+ROWS_PER_LANGUAGE, TRAINING_CHARS = 1000, 100_000_000
+#: Languages to learn, the most frequent ones: each is a column of the model, which every task gets.
+MOST_LANGUAGES = 200
 TABLE = 1 << 15  # at most 1 << 16: rows are kept as 16-bit numbers
 DIM = 16
 EPOCHS = 4
@@ -150,20 +152,19 @@ def _calibrate(model: Model, grams: list[np.ndarray], y: np.ndarray, rng) -> Non
     conf, right = p.max(1), p.argmax(1) == y
     order = np.argsort(-conf)
     wrong = np.cumsum(~right[order]) / np.arange(1, len(y) + 1)
-    ok = np.flatnonzero(wrong <= ACCEPTED_ERROR)
+    # Rows of equal confidence are accepted together.
+    ends = np.append(conf[order][1:] < conf[order][:-1], True)
+    ok = np.flatnonzero((wrong <= ACCEPTED_ERROR) & ends)
     least = float(conf[order][ok[-1]]) if len(ok) and ok[-1] < len(y) - 1 else (0.0 if len(ok) else 1.0)
     model.threshold = min(max(least, THRESHOLD_RANGE[0]), THRESHOLD_RANGE[1])
 
 
-def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Fit on a sample of labelled (doc_id, text, lang), bounded per language; rows without text or lang are not used."""
-    rows = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.where("lang is not null").groupBy("lang").count().collect()}
-    if not counts:
-        return fit([], [])
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, rows_per_language / n) * (1 << 30))))])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")]).collect()
-    picked.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
+def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model:
+    """Fit on a sample of labelled (text, lang), bounded per language; rows without text or lang are not used, nor are languages beyond the most frequent ones (of equals the first by name)."""
+    rows = labelled.select("text", "lang").where("lang is not null and text is not null")
+    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages)
+    langs = [r["lang"] for r in counts.collect()]
+    picked = bounded_sample(rows.where(F.col("lang").isin(langs)), "text", "lang", rows_per_language, TRAINING_CHARS // max(1, len(langs))) if langs else []
     return fit([r["text"] for r in picked], [r["lang"] for r in picked])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +59,10 @@ def bounded_sample(rows: DataFrame, text: str, group: str | None, most_rows: int
     rows = rows.where(F.col(text).isNotNull() & (F.length(text) <= most_chars)).select(*keys, text)
     bucket = F.pmod(F.xxhash64(text, F.lit(17)), F.lit(1 << 30))
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n_"), F.sum(F.length(text)).alias("c_")).collect()
-    limit = F.lit(0)
-    for r in counts:
-        share = int(min(1.0, most_rows / max(1, r["n_"]), most_chars / max(1, r["c_"] or 0)) * (1 << 30))
-        limit = F.when(F.col(group).eqNullSafe(F.lit(r[group])), share).otherwise(limit) if group else F.lit(share)
+    share = lambda r: int(min(1.0, most_rows / max(1, r["n_"]), most_chars / max(1, r["c_"] or 0)) * (1 << 30))
+    limit = F.lit(share(counts[0]) if counts and not group else 0)
+    if group and counts:
+        limit = reduce(lambda when, r: when.when(F.col(group).eqNullSafe(F.lit(r[group])), share(r)), counts, F.when(F.lit(False), 0)).otherwise(0)
     return sorted(rows.where(bucket < limit).distinct().collect(), key=lambda r: tuple((x is None, x) for x in r))
 
 
