@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import short_batches, small
+from .staging import bounded_sample, short_batches, small
 
-#: Labelled rows of each class to learn from, at most (expected); chosen by hash over the whole table.
-ROWS_PER_CLASS = 2000
+#: Labelled texts of each class to learn from, and their characters, at most (expected); chosen by hash over the whole table.
+ROWS_PER_CLASS, CHARS_PER_CLASS = 2000, 60_000_000
 THRESHOLD = 0.7
 TREES, DEPTH, RATE, BINS = 60, 3, 0.15, 32
 #: A word joins the lexicon when so many toxic texts have it, or this share of them, and so many times likelier than other texts.
@@ -33,7 +33,6 @@ _DISGUISED = re.compile(r"[^\W\d_][0-9@$!*|]+[^\W\d_]|[^\W\d_](?:[.\-_*][^\W\d_]
 _CAPS = re.compile(r"\b[A-Z]{3,}\b")
 _MARKS = re.compile(r"[!?]")
 _RUNS = re.compile(r"(.)\1{3,}|[!?]{2,}")
-_SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def words(text: str | None) -> list[str]:
@@ -229,8 +228,9 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     limit = F.when(F.col("toxic") == 1, share.get(1, 0)).otherwise(share.get(0, 0))
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < limit)
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    picked = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").collect()
-    picked.sort(key=lambda r: (r["doc_id"], r["text"]))
+    # Of a number that many rows share, few texts are taken too.
+    known = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    picked = bounded_sample(known, "text", "toxic", rows_per_class, CHARS_PER_CLASS)
     return fit([r["text"] for r in picked], [r["toxic"] for r in picked])
 
 
