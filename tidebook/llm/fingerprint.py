@@ -10,8 +10,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,16 +76,42 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
     return float(min(1.0, max(0.0, (float((a == b).mean()) - chance) / (1.0 - chance))))
 
 
+class Borders:
+    """Slices of the order (null doc_ids first, doc_id, hash of the text): neighbouring doc_ids share one, and a doc_id of more rows than a slice has some of its own."""
+
+    def __init__(self, cuts: list[int], hot: dict[int, int], nulls: int):
+        # A hot doc_id opens a slice, and so does the one after it.
+        self.ids = np.array(sorted({*cuts, *hot, *(h + 1 for h in hot if h < (1 << 63) - 1)}), np.int64)
+        parts = [hot.get(i, 1) for i in self.ids.tolist()]
+        self.first = nulls + 1 + np.concatenate(([0], np.cumsum(parts))).astype(np.int64)
+        self.parts, self.nulls = np.array([1, *parts], np.int64), nulls
+
+    def of(self, ids: np.ndarray, null: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.ids, ids, "right")
+        parts = np.where(null, max(1, self.nulls), self.parts[at])
+        # The hash's place among parts equal ranges.
+        part = ((hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * parts.astype(np.uint64) >> np.uint64(32)
+        return np.where(null, 0, np.concatenate(([self.nulls], self.first))[at]) + part.astype(np.int64)
+
+
 def _sliced(docs: DataFrame, rows: int) -> DataFrame:
-    """docs with slice_: neighbouring doc_ids share one; rows without doc_id are in the first."""
+    """docs (doc_id, text_) with hash_ and slice_."""
     n = docs.count()
-    k = min(MOST_SLICES, -(-n // rows))
+    rows = max(rows, -(-n // MOST_SLICES))
+    k = -(-n // rows)
     cuts = docs.select("doc_id").approxQuantile("doc_id", [i / k for i in range(1, k)], 0.1 / k) if k > 1 else []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) < 3:
-        return docs.withColumn("slice_", F.lit(0))
-    cut = Bucketizer(splits=splits, inputCol="id_", outputCol="slice_", handleInvalid="keep").transform(docs.withColumn("id_", F.col("doc_id").cast("double")))
-    return cut.withColumn("slice_", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("slice_").cast("int"))).drop("id_")
+    # At most MOST_SLICES doc_ids have more rows than a slice.
+    hot = {r["doc_id"]: -(-r["count"] // rows) for r in docs.groupBy("doc_id").count().where(F.col("count") > rows).collect()}
+    nulls = hot.pop(None, 1 if k else 0)
+    borders = docs.sparkSession.sparkContext.broadcast(Borders([int(c) for c in cuts], hot, nulls))
+
+    @F.pandas_udf("long")
+    def slice_of(ids: pd.Series, null: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(borders.value.of(ids.to_numpy(), null.to_numpy(), hashes.to_numpy()))
+
+    docs = docs.withColumn("hash_", F.xxhash64("text_"))
+    # A null among the numbers would turn them all into doubles.
+    return docs.withColumn("slice_", slice_of(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("hash_")))
 
 
 def fingerprints(docs: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
@@ -94,17 +120,20 @@ def fingerprints(docs: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataF
     The edited text is the text with its last floor(n/2) code points replaced by the first as many (or all) of the next
     document's, in ascending doc_id and after the last the first. Documents are dealt into slices of neighbouring doc_id; the first
     document of every slice is also lent to the slice before it (of the first, to the last), so that no order over all rows is needed and only
-    slice borders, MOST_SLICES at most, reach the driver. A null text is empty, and fingerprints as the empty string;
-    null doc_ids come first; rows of one doc_id follow each other by text; a lone document is its own next; an empty table gives no rows.
+    slice borders, a few times MOST_SLICES at most, reach the driver. A null text is empty, and fingerprints as the empty string;
+    null doc_ids come first; rows of one doc_id, or of none, follow each other by a hash of the text, by which they are dealt if they are many; a lone document is its own next; an
+    empty table gives no rows.
     """
-    base = _sliced(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text_")), rows_per_slice)
-    found = base.groupBy("slice_").agg(F.min("doc_id").alias("m"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect()
-    heads = sorted((r["slice_"], None if r["nulls"] else r["m"]) for r in found)
-    rows = [(m, heads[i - 1][0]) for i, (_, m) in enumerate(heads)]
-    lent = docs.sparkSession.createDataFrame(rows, "m_ long, to_ int")
-    lent = base.join(F.broadcast(lent), F.col("doc_id").eqNullSafe(F.col("m_"))).select("doc_id", "text_", F.col("to_").alias("slice_"), F.lit(1).alias("kind_"))
-    dealt = base.withColumn("kind_", F.lit(0)).unionByName(lent).repartition(max(1, len(heads)), "slice_")
-    dealt = dealt.sortWithinPartitions("slice_", "kind_", F.col("doc_id").asc_nulls_first(), "text_")
+    base = _sliced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text_")), rows_per_slice)
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("o_"), "doc_id", "hash_")).alias("f")
+    found = sorted((r["slice_"], r["f"]["doc_id"], r["f"]["hash_"]) for r in base.groupBy("slice_").agg(first).collect())
+    rows = [(m, h, found[i - 1][0]) for i, (_, m, h) in enumerate(found)]
+    lent = docs.sparkSession.createDataFrame(rows, "m_ long, h_ long, to_ long")
+    lent = base.join(F.broadcast(lent), F.col("doc_id").eqNullSafe(F.col("m_")) & (F.col("hash_") == F.col("h_")))
+    # One row lends itself, however many are like it.
+    lent = lent.groupBy(F.col("to_").alias("slice_")).agg(F.min(F.struct("doc_id", "hash_", "text_")).alias("r")).select("r.doc_id", "r.text_", "r.hash_", "slice_", F.lit(1).alias("kind_"))
+    dealt = base.withColumn("kind_", F.lit(0)).unionByName(lent).repartition(max(1, len(found)), "slice_")
+    dealt = dealt.sortWithinPartitions("slice_", "kind_", F.col("doc_id").asc_nulls_first(), "hash_", "text_")
     return short_batches(dealt).select("slice_", "kind_", "doc_id", "text_").mapInArrow(_run, OUT)
 
 
