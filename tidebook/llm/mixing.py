@@ -24,6 +24,8 @@ GOLDEN = 2654435769
 CELLS = 4096
 CHUNK = 65536
 ROWS_PER_BUCKET = 4096
+#: Copies of a row that one task places at a time.
+COPIES = 10_000
 
 
 def word_count(text) -> F.Column:
@@ -83,13 +85,15 @@ def mix(docs: DataFrame, max_repeat: int = 3) -> DataFrame:
 
     docs needs doc_id, text, source; other columns are not read.  A null or empty text has size 0 and gives
     nothing; a null source is a source of its own, the last; repeated rows each give their words; a table
-    without words has targets 0; an empty table gives no rows.  Ties in the shuffled order (equal doc_id) fall back on
-    doc_id and size and hence never change a result.
+    without words has targets 0; an empty table gives no rows.  The shuffled order is that of a hash of doc_id and text; rows that are alike in both
+    and in source are placed as one and told apart afterwards, so neither a doc_id of many rows nor a text of many copies fills a task.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("h")
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key))
-    n, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text)).alias("h")
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key).groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("copies")))
+    sized = sized.withColumn("each", F.col("size")).withColumn("size", F.col("each") * F.col("copies"))
+    n, total, most = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), F.max("copies")).first()
     block = max(1, min(LARGEST_BLOCK, total // SLOTS), -(-total // PERIOD))
     buckets = 1
     while buckets < 65536 and n > buckets * ROWS_PER_BUCKET:
@@ -99,14 +103,19 @@ def mix(docs: DataFrame, max_repeat: int = 3) -> DataFrame:
     # Words ahead of each document in its source's shuffled stream: inside its bucket, plus the buckets before.
     prefix = F.conv(F.substring("h", 1, 4), 16, 10).cast("long")
     sized = sized.withColumn("bucket", F.coalesce(F.floor(prefix * buckets / 65536), F.lit(0)).cast("int"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "each").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("start", F.sum("size").over(inside) - F.col("size"))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("m"))
     sums = sums.withColumn("base", F.sum("m").over(Window.partitionBy("source").orderBy("bucket")) - F.col("m"))
     t = targets.select(F.col("source").alias("t_"), "source_size", "target")
     sums = sums.join(t, F.col("source").eqNullSafe(F.col("t_"))).select(F.col("source").alias("s_"), F.col("bucket").alias("b_"), "base", "source_size", "target")
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("s_")) & (F.col("bucket") == F.col("b_")))
-    placed = placed.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("start")).alias("start"))
+    # Copies one after another, in two steps, so that no task writes all of many.
+    steps = placed.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    steps = steps.repartition("h", "step") if most and most > COPIES else steps
+    copy = F.explode(F.sequence(F.col("step") * COPIES, F.least(F.col("copies"), (F.col("step") + 1) * COPIES) - 1)).alias("copy")
+    placed = steps.select("doc_id", "source", F.col("each").alias("size"), "source_size", "target", "base", "start", copy)
+    placed = placed.select("doc_id", "source", "size", "source_size", "target", "copy", (F.col("base") + F.col("start") + F.col("copy") * F.col("size")).alias("start"))
 
     none = placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "source")
     if not total:
@@ -136,7 +145,7 @@ def mix(docs: DataFrame, max_repeat: int = 3) -> DataFrame:
 ORACLE = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS h FROM documents),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 tot AS (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS total FROM sized),
 blk AS (SELECT total, greatest(1, least({LARGEST_BLOCK}, total // {SLOTS}), (total + {PERIOD - 1}) // {PERIOD}) AS block FROM tot),
 t0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
