@@ -170,15 +170,27 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return stored.groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("media").alias("media"))
 
 
+def document_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, html): a page for every document of docs (doc_id, text, source) that shows its text as a medium between a heading and a closing line."""
+    shown = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("?")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    page = F.concat(
+        F.lit("<h1>Document "), shown("doc_id"), F.lit('</h1><figure><img src="media:'), digest, F.lit('" alt="text"><figcaption>text of document '), shown("doc_id"),
+        F.lit("</figcaption></figure><p>From "), shown("source"), F.lit("</p>"),
+    )
+    return docs.select("doc_id", page.alias("html"))
+
+
 def text_media(docs: DataFrame) -> DataFrame:
-    """Every document's text as a media payload, resolved through an interleaved page that shows it.
+    """Every document's text as a media payload, resolved through an interleaved page that shows it: the described payload with its place and caption on the page,
+    and the number of the page's items.
 
-    docs needs doc_id and text. A null text is empty; an empty text is one row of 64 zero samples; equal texts share one
-    stored payload and get equal values; repeated rows stay; an empty table gives no rows. The stored
+    docs needs doc_id, text and source. A null text is empty; an empty text is one row of 64 zero samples; equal texts share one
+    stored payload and get equal values, but for the caption, which names the document; repeated rows stay; an empty table gives no rows. The stored
     form is a pure function of the text, so a task that runs again writes the same bytes.
     """
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    figure = F.concat(F.lit('<figure><img src="media:'), digest, F.lit('" alt="text"><figcaption>document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit("</figcaption></figure>"))
-    shown = interleave(docs.select("doc_id", figure.alias("html"))).drop("html")
+    shown = interleave(document_pages(docs)).select("doc_id", F.size("items").alias("n_items"), F.filter("items", lambda i: i["kind"] == "media").alias("items"))
     out = resolve(shown, describe(store_texts(docs)))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("item.pos").alias("pos"))
+    return out.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("item.pos").alias("pos"), F.col("item.caption").alias("caption"), "n_items"
+    )
