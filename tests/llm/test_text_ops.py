@@ -104,6 +104,67 @@ def test_language_of_odd_rows(spark):
     assert lang_id.train(documents(spark).limit(0)).langs == []
 
 
+def plain_trigrams(text):
+    """Trigrams of lower-cased letters, other runs as one space, hashed as the model does."""
+    low = [(x.lower() if len(x.lower()) == 1 else x) if x.isalpha() else " " for x in text or ""]
+    runs = re.sub(" +", " ", "".join(low).strip(" "))
+    if not runs:
+        return []
+    padded = [0] + [ord(c) if c != " " else 0 for c in runs] + [0]
+    out = []
+    for a, b, c in zip(padded, padded[1:], padded[2:]):
+        if b:
+            h = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) % (1 << 64)
+            h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            out.append(h >> (64 - 15))
+    return out
+
+
+def test_language_equals_a_plain_reading():
+    """Pooling, softmax, temperature and rejection, one number at a time."""
+    rng = random.Random(9)
+    langs = {"en": "the of and to in is that it was for", "fr": "le de et la les des un une est pour", "xx": "zu qa wo ti ke ma nu"}
+    texts, labels = zip(*[(" ".join(rng.choice(w.split()) for _ in range(rng.randrange(1, 30))), k) for k, w in langs.items() for _ in range(60)], strict=True)
+    model = lang_id.fit(list(texts), list(labels))
+    assert model.langs == sorted(langs) and 0 < model.temperature <= 5 and 0.3 <= model.threshold <= 0.9
+    odd = ["", None, "123", "Le Chat, et la 2e!", "İstanbul ß", "x", "zu  zu\n\nzu"]
+    for text, grams in zip(odd + list(texts[::7]), lang_id.subwords(odd + list(texts[::7])), strict=True):
+        assert grams.tolist() == plain_trigrams(text)
+        got = model.predict(grams)
+        if not plain_trigrams(text):
+            assert got == ("und", 0.0, True)
+            continue
+        z = [(sum(float(model.rows[g][k]) for g in grams.tolist()) / len(grams) + model.bias[k]) / model.temperature for k in range(3)]
+        e = [np.exp(x - max(z)) for x in z]
+        best = max(range(3), key=lambda k: e[k])
+        assert got[0] == model.langs[best] and abs(got[1] - e[best] / sum(e)) < 1e-9 and got[2] == (e[best] / sum(e) < model.threshold)
+
+
+def test_calibration_by_hand():
+    """The temperature has the least loss of those tried, and the threshold accepts few errors."""
+    rng = np.random.default_rng(3)
+    model = lang_id.Model(["a", "b"], np.zeros((lang_id.TABLE, 2), np.float32), np.zeros(2), 1.0, 0.0)
+    y = rng.integers(0, 2, 300)
+    model.rows[0], model.rows[1], model.rows[2] = (2, 0), (0, 2), (0.3, 0)
+    grams = [np.array([2]) if rng.random() < 0.2 else np.array([k]) for k in y]
+    lang_id._calibrate(model, grams, y, rng)
+
+    def loss(t):
+        p = [np.exp(model.rows[g[0]] / t) for g in grams]
+        return -np.mean([np.log(x[k] / x.sum()) for x, k in zip(p, y, strict=True)])
+
+    assert all(loss(model.temperature) <= loss(t) + 1e-9 for t in np.geomspace(0.05, 5, 60))
+    kept = [(int(model.rows[g[0]].argmax()), k) for g, k in zip(grams, y, strict=True) if not model.predict(g)[2]]
+    assert kept and sum(a != b for a, b in kept) <= 0.02 * len(kept)
+
+
+def test_dirty_language_columns_are_bounded(spark):
+    df = spark.range(4000).selectExpr("cast(null as long) doc_id", "concat('some words of row ', id) text", "case when id % 2 = 0 then 'en' else concat('x', id) end lang")
+    model = lang_id.train(df, rows_per_language=50, most_languages=5)
+    assert len(model.langs) == 5 and "en" in model.langs
+    assert lang_id.train(df.withColumn("lang", F.lit(None).cast("string"))).langs == []
+
+
 def test_subwords_do_not_depend_on_neighbours():
     texts = ["ab c", "", None, "Déjà vu", "12", "x"]
     together = [g.tolist() for g in lang_id.subwords(texts)]
@@ -155,6 +216,23 @@ def test_fingerprints_of_odd_rows(spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest()
 
 
+def test_fingerprints_of_hot_numbers(spark):
+    """Rows without doc_id, or all of one, are dealt among slices by their texts; results are those of the order by (doc_id, hash, text)."""
+    base = spark.range(1500).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 7 else 9007199254740993 + id end doc_id", "concat('text ', id % 700, ' of words that go on ', id % 700, ' and on') text").repartition(5)
+    sliced = fingerprint._sliced(base.withColumnRenamed("text", "text_"), 50)
+    most = sliced.groupBy("slice_").count().agg(F.max("count"), F.count("*")).first()
+    assert most[0] < 150 and most[1] > 20
+    rows = base.withColumn("h", F.xxhash64("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"]))
+    want = Counter()
+    for k, r in enumerate(rows):
+        t, nxt = r["text"], rows[(k + 1) % len(rows)]["text"]
+        e = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        want[r["doc_id"], len(t), hashlib.sha256(e.encode()).hexdigest()] += 1
+    got = fingerprint.fingerprints(base, rows_per_slice=50)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_chars", "edited_sha256").collect()) == want
+
+
 # --- join ---
 
 
@@ -324,6 +402,7 @@ def test_media_round_trip(spark):
         padded = raw + bytes(-len(raw) % 64 if raw else 64)
         want.setdefault(r["doc_id"], (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])))
     assert {r[0]: r[1:5] for r in got} == want
+    assert all(r[9] == f"text of document {'?' if r[0] is None else r[0]}" for r in got)
     for payload in (bytes(64), bytes(range(256)) * 3, b"z" * 64 * 1000):
         assert media.decode_png(media.encode_png(payload)).tobytes() == payload
     broken = bytearray(media.encode_png(bytes(64)))
@@ -332,6 +411,36 @@ def test_media_round_trip(spark):
         media.decode_png(bytes(broken))
 
 
+def test_media_equals_a_plain_reading(spark, sf):
+    """The stored form, read by hand, and its features; place and caption stay with their document."""
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()}
+    got = queries.op6_media_columns(spark, sf).where(F.col("doc_id").isin(list(docs))).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        raw = (docs[r["doc_id"]]["text"] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        stored = media.encode_png(payload)
+        n = int.from_bytes(stored[33:37], "big")
+        lines = zlib.decompress(stored[41 : 41 + n])
+        assert stored[37:41] == b"IDAT" and b"".join(lines[i + 1 : i + 65] for i in range(0, len(lines), 65)) == payload
+        assert int.from_bytes(stored[16:20], "big") == 64 and int.from_bytes(stored[20:24], "big") * 64 == len(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        height, mean = len(payload) // 64, sum(payload) / len(payload)
+        std = (sum((x - mean) ** 2 for x in payload) / len(payload)) ** 0.5
+        bands = []
+        for i in range(8):
+            a, b = i * height // 8, (i + 1) * height // 8 if i < 7 else height
+            part = payload[64 * a : 64 * max(b, a + 1)]
+            for j in range(8):
+                own = [x for k, x in enumerate(part) if k % 64 // 8 == j]
+                bands.append(sum(own) / len(own))
+        size, m, s, bits = re.fullmatch(r"grey8 (\S+) mean=(\S+) std=(\S+) ahash=([0-9a-f]{16})", r["feature"]).groups()
+        assert size == f"64x{height}" and abs(float(m) - mean) < 1e-3 and abs(float(s) - std) < 1e-3
+        level = sum(bands) / 64
+        assert all((v > level) == (c == "1") or abs(v - level) < 1e-6 for v, c in zip(bands, f"{int(bits, 16):064b}", strict=True))
+        assert (r["pos"], r["n_items"], r["caption"]) == (1, 3, f"text of document {r['doc_id']}")
+
+
 def test_interleaving():
     page = '<p>One &amp; two</p><figure><img src="media:d1" alt="x"><figcaption>A  cap</figcaption></figure><p>Three</p><img src=d2 alt="alt"><script>no</script><p>Four'
     got = [(i["pos"], i["kind"], i["text"], i["digest"], i["caption"]) for i in media.interleave_html(page)]
@@ -370,6 +479,66 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.train(documents(spark).limit(0), labels.limit(0)).trees is None
 
 
+def plain_tree(x, g, h, rows, depth):
+    """The best split by trying every cut of every feature, with the gain of the logistic loss."""
+    gs, hs = sum(g[i] for i in rows), sum(h[i] for i in rows)
+    if not depth or len(rows) < 8:
+        return toxicity.RATE * gs / (hs + 1)
+    best = (1e-6, None, None)
+    for f in range(len(x[0])):
+        for cut in sorted({x[i][f] for i in range(len(x))})[:-1]:
+            gl, hl = (sum(v[i] for i in rows if x[i][f] <= cut) for v in (g, h))
+            gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+            if hl >= 0.05 and hs - hl >= 0.05 and gain > best[0] + 1e-12:
+                best = (gain, f, cut)
+    if best[1] is None:
+        return toxicity.RATE * gs / (hs + 1)
+    _, f, cut = best
+    return f, cut, plain_tree(x, g, h, [i for i in rows if x[i][f] <= cut], depth - 1), plain_tree(x, g, h, [i for i in rows if x[i][f] > cut], depth - 1)
+
+
+def test_trees_equal_trying_every_split(monkeypatch):
+    monkeypatch.setattr(toxicity, "TREES", 4)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (60, 3)).astype(float)
+    y = ((x[:, 0] > 2) ^ (rng.random(60) < 0.2)).astype(float)
+    raw = np.full(60, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-raw))
+        tree = plain_tree(x.tolist(), (y - p).tolist(), (p * (1 - p)).tolist(), list(range(60)), toxicity.DEPTH)
+
+        def value(row, t):
+            while isinstance(t, tuple):
+                t = t[2] if row[t[0]] <= t[1] else t[3]
+            return t
+
+        raw = raw + [value(row, tree) for row in x.tolist()]
+    assert np.allclose(toxicity.Boosted().fit(x, y).raw(x), raw, atol=1e-9)
+
+
+def test_isotonic_equals_the_min_max_formula():
+    rng = np.random.default_rng(8)
+    raw = rng.permutation(40).astype(float)
+    y = (rng.random(40) < raw / 40).astype(float)
+    xs, ps = toxicity.isotonic(raw, y)
+    own = y[np.argsort(raw)]
+    for k in range(40):
+        fit = max(min(own[a : b + 1].mean() for b in range(k, 40)) for a in range(k + 1))
+        assert abs(np.interp(k, xs, ps) - fit) < 0.011
+
+
+def test_training_texts_are_bounded_whatever_the_ids(spark):
+    docs = spark.range(3000).selectExpr("5L as doc_id", "concat('words of row ', id, ' here') as text")
+    seen = []
+    labels = spark.createDataFrame([(5, 1), (6, 0)], "doc_id long, toxic int")
+    fit, toxicity.fit = toxicity.fit, lambda t, y: seen.append(len(t))
+    try:
+        toxicity.train(docs, labels, rows_per_class=100)
+    finally:
+        toxicity.fit = fit
+    assert 50 < seen[0] < 200
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(1)
     raw = rng.normal(size=400)
