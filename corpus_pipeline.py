@@ -1,71 +1,5 @@
-"""From raw documents to packed training sequences, in five stages.
+"""The corpus pipeline: STAGES, run() and ORACLE_SQL of tidebook.llm.pipeline."""
 
-Each stage works on all that the one before it kept; run() writes every stage's rows as Parquet and reads them again.
-All but the last stage return the columns of documents.
-"""
+from tidebook.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidebook.llm import jaccard_join, lang_id, mixing, packing, toxicity
-from tidebook.llm.queries import tokenizer_path
-from tidebook.llm.staging import ensure_checkpoint_dir
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language the model rejects: no letters, or too little confidence in any language."""
-    model = lang_id.train(docs)
-    out = lang_id.identify(docs, model, keep=COLUMNS[1:])
-    return out.where("not rejected").select(*COLUMNS)
-
-
-def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the toxicity model predicts to be toxic."""
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out = toxicity.score(docs, model, keep=COLUMNS[1:])
-    return out.where("predicted = 0").select(*COLUMNS)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of linked documents the one of least doc_id; rows without doc_id stay."""
-    groups = jaccard_join.join_components(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    rest = F.struct(*COLUMNS[1:])
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("r"))
-    return kept.select("doc_id", "r.*").union(docs.where("doc_id is null").select(*COLUMNS))
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document as often as the mix takes it, to the nearest whole number; rows without doc_id stay once."""
-    taken = mixing.mix(docs).where("doc_id is not null and size > 0")
-    copies = taken.select("doc_id", F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("copies")).where("copies > 0")
-    times = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return times.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack everything into sequences of token windows."""
-    return packing.pack(docs, tokenizer_path())
-
-
-STAGES = [("language", language), ("toxicity", toxic), ("near_duplicates", near_duplicates), ("mixing", mixed), ("packing", packed)]
-#: Two stages learn models, which SQL cannot express.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents; the stages' tables lie in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
