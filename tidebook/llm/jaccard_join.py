@@ -290,7 +290,7 @@ def _verified(clusters: DataFrame, docs: DataFrame, percent: int, shingle: int,
     """
     dealt = _parts(clusters, "c", F.col("n"), PART, percent)
     # Of a number with several texts each is compared; the texts of its copies are one.
-    texts = docs.select(F.col("doc_id").alias("rid"), "text").where("text is not null").join(clusters.select("rid").distinct(), "rid").distinct()
+    texts = docs.select(F.col("doc_id").alias("rid"), "text").where("text is not null").join(clusters.select("rid").distinct().hint("merge"), "rid").distinct()
     dealt = dealt.join(texts, "rid").select("c", "i", "j", "rid", "text").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "rid")
     found = dealt.mapInArrow(lambda batches: _grouped(batches, 3, _exact_links(percent, shingle, spanning)), "a long, b long")
     return found.where("a <> b").distinct()
@@ -310,7 +310,8 @@ class Classes:
         # A doc_id with several texts has a row for each here; it is one node of every graph below.
         keyed = self.reps.where("rid is not null").select(F.explode("keys").alias("key"), "rid")
         hubs = cut(keyed.groupBy("key").agg(F.min("rid").alias("hub"), F.count("*").cast("int").alias("m")).where("m > 1"))
-        blocks = cut(keyed.join(hubs, "key").where("m > 2 or rid <> hub").select("key", "rid", "hub", "m"))
+        # Merged at every size: a small input would be broadcast, and measured in that way, where a large one never is.
+        blocks = cut(keyed.join(hubs.hint("merge"), "key").where("m > 2 or rid <> hub").select("key", "rid", "hub", "m"))
         drop(hubs)
         stars = blocks.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
         near = cut(_bounded(stars, self.reps, percent).distinct())
