@@ -2,8 +2,9 @@ import random
 
 import pytest
 from fold import Book
+from pyspark.sql import functions as F
 
-from tidebook.operators import book, snapshots, views
+from tidebook.operators import book, merge, snapshots, views
 
 SCHEMA = "ord long, instrument_id long, order_id long, action string, side int, price long, size long, ts_recv long"
 P = 5_000_000_000_000
@@ -121,3 +122,15 @@ def test_grouped_depth(spark, n_levels, sizes):
     rows = views.grouped_depth(lv, 5).orderBy("bucket").collect()
     assert [r["qty"] for r in rows] == sizes
     assert rows[0]["first_price"] == 100 + n_levels - 1
+
+
+def test_books_at_a_cut(spark):
+    """Books after any event equal the books of the events up to it; the order may be the struct of a merge."""
+    events = frame(spark, random_events(random.Random(21), 300))
+    merged = merge.merge_order(events.drop("ts_recv").select("*", F.lit(0).alias("file_idx"), F.lit(0).cast("long").alias("row_block"), F.col("ord").alias("row_idx"), F.col("ord").alias("ts_recv")).drop("ord"))
+    for at in (1, 57, 150, 300, 1000):
+        want = sorted(map(tuple, book.levels(events.where(F.col("ord") <= at)).collect()))
+        assert sorted(map(tuple, book.levels(events, at=at).collect())) == want
+        place = F.struct(F.lit(at).cast("long").alias("t"), F.lit(0).alias("file_idx"), F.lit(0).cast("long").alias("row_block"), F.lit(at).cast("long").alias("row_idx"))
+        assert sorted(map(tuple, book.levels(merged, at=place).collect())) == want
+        assert sorted(map(tuple, book.live_orders(events, at=at).collect())) == sorted(map(tuple, book.live_orders(events.where(F.col("ord") <= at)).collect()))

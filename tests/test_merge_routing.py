@@ -55,9 +55,29 @@ def test_unsorted_files_merge_as_heads_do(spark):
 
 def test_global_rank(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"), F.col("id").alias("y"))
-    got = merge.global_rank(df, F.floor(F.col("x") / 10), ["x"], rows_per_bucket=50).collect()
+    got = merge.global_rank(df, F.floor(F.col("x") / 10), ["x"]).collect()
     assert all(r["rank"] == r["x"] + 1 for r in got)
+    got = merge.global_rank(df, F.floor(F.col("x") / 10), ["x"], F.col("x") % 3 == 0).collect()
+    assert all(r["rank"] == r["x"] // 3 + 1 for r in got)
     assert merge.global_rank(df.limit(0), F.col("x"), ["y"]).count() == 0
+    assert merge.global_rank(df, F.col("x"), ["y"]).columns == ["x", "y", "rank"]
+
+
+@pytest.mark.parametrize("value", ["case when id = 77 then 0 else 1775001621480470598 + id end", "cast(7 as long)", "cast(null as long)"])
+def test_ranks_spread_whatever_the_values(spark, value):
+    """One early event, or one time for all, leaves the rows dealt evenly among partitions."""
+    df = spark.range(200_000, numPartitions=4).select(F.expr(value).alias("t"), F.col("id").alias("row"))
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = merge.global_rank(df, F.col("t"), ["row"])
+        want = df.toPandas().sort_values(["t", "row"], na_position="first")["row"].tolist()
+        assert [r["row"] for r in got.orderBy("rank").collect()] == want
+        assert [r["rank"] for r in got.select("rank").orderBy("rank").collect()] == list(range(1, 200_001))
+        sizes = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in got.inputFiles()}).groupBy(F.col("_metadata.file_path")).count().collect()
+        assert len(sizes) == 4 and max(r["count"] for r in sizes) < 80_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
 
 
 EVENT = "ord long, order_key long, instrument_id long, action string, side int, price long, size long"

@@ -48,6 +48,45 @@ def test_objects_on_one_line(spark, tmp_path):
         ev.read_events(spark, path, framing="other")
 
 
+def test_braces_inside_strings(spark, tmp_path):
+    path = write(tmp_path, "".join(line(order=str(i)).replace('"X"', '"}{ \\\\\\" } {"') for i in (1, 2)) + " rubbish " + line(order="3") + "{")
+    lines = ev.read_json_lines(spark, [path], "concatenated")
+    assert [int(r["order_id"]) for r in ev.good(ev.decode_lines(lines)).orderBy("row_idx").collect()] == [1, 2, 3]
+    assert [r["line"].strip() for r in ev.malformed(ev.decode_lines(lines)).orderBy("row_idx").collect()] == ["rubbish", "{"]
+
+
+@pytest.mark.parametrize("names", [["b c", "a"], ["x[1]", "x1", "p*", "q?", "{r,s}", "ü%20 #"]])
+def test_names_of_files(spark, tmp_path, names):
+    """Every event of every file is there, whatever the file's name."""
+    for n in names:
+        write(tmp_path, line(order=str(names.index(n) + 1)), line(order=str(names.index(n) + 1)), name=f"{n}.mbo.json")
+    got = [(r["file_idx"], int(r["order_id"])) for r in ev.read_events(spark, str(tmp_path), "json").collect()]
+    assert sorted(got) == sorted((i, names.index(n) + 1) for i, n in enumerate(sorted(names, key=lambda n: n + ".mbo.json")) for _ in range(2))
+    one = tmp_path / f"{names[0]}.mbo.json"
+    assert ev.read_events(spark, str(one)).count() == 2
+
+
+def test_json_round_trip(spark, sf, tmp_path):
+    want = derived.canonical(derived.mbo_events(spark, sf)).select(*ev.EVENT_COLUMNS)
+    ev.write_json(want.repartition(3), str(tmp_path / "out"))
+    got = ev.read_events(spark, str(tmp_path / "out"), "json")
+    assert got.select(*ev.EVENT_COLUMNS).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+@pytest.mark.parametrize("text,want", [("2026-13-01T00:00:21Z", "2027-01-01T00:00:21Z"), ("2026/04/01 00:00:21.5Z", "2026-04-01T00:00:21.5Z"), ("2026-00-31T23:59:61", "2026-01-01T00:00:01Z"), ("2026-04-01T00:00:21.480470598Z", "2026-04-01T00:00:21.480470598Z"), ("2026-04-01", None), ("20x6-04-01T00:00:21Z", None)])
+def test_lenient_times(spark, tmp_path, text, want):
+    got = spark.range(1).select(codecs.iso_to_ns(F.lit(text), True).alias("a"), codecs.iso_to_ns(F.lit(want)).alias("b")).first()
+    assert got["a"] == got["b"] and (got["a"] is None) == (want is None)
+    path = write(tmp_path, line(recv=text))
+    assert ev.read_events(spark, path, lenient_times=True).count() == (want is not None)
+
+
+def test_prices_equal_the_pattern(spark):
+    texts = ["", "-", ".", "1", "-1", "1.", ".5", "-.5", "00.10", "1.2.3", "1-2", "--5", "+5", " 7", "7 ", "1e5", "1.123456789999", "9223372036.854775807", "9223372036.854775808", "99999999999999999999", "-0.000000001", "abc", "1.2x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", codecs.price_exact(F.col("t")).alias("a"), codecs._price_by_pattern(F.col("t")).alias("b"))
+    assert all(r["a"] == r["b"] for r in df.collect())
+
+
 def test_empty_file(spark, tmp_path):
     assert ev.read_events(spark, write(tmp_path)).count() == 0
 
@@ -110,6 +149,21 @@ def test_feather(spark, tmp_path):
         ev.read_events(spark, path)
 
 
+def test_feather_batches(spark, tmp_path, monkeypatch):
+    """Record batches are partitions of their own; columns that no event has aren't read."""
+    n = 1000
+    t = pa.table({k: (v * n)[:n] if k != "sequence" else list(range(n)) for k, v in FLAT.items()} | {"symbol": ["X" * 100] * n})
+    path = str(tmp_path / "b c.mbo.json.feather")
+    pf.write_feather(t, path, chunksize=100, compression="uncompressed")
+    monkeypatch.setattr(feather, "PARTITION_BYTES", 1)
+    parts = feather.ArrowReader([path, path], ev.FLAT_COLUMNS).partitions()
+    assert [p.value[2:] for p in parts[:10]] == [(k, k + 1) for k in range(10)] and len(parts) == 20
+    one = list(feather.ArrowReader([path], ["sequence"]).read(parts[3]))
+    assert one[0].schema.names == ["sequence", "file_idx", "row_block", "row_idx"] and one[0].column(0).to_pylist() == list(range(300, 400))
+    got = ev.read_events(spark, path).orderBy("row_block", "row_idx").collect()
+    assert [r["sequence"] for r in got] == list(range(n))
+
+
 def test_write_feather(spark, sf, tmp_path):
     e = ev.EVENT_COLUMNS
     flat = derived.canonical(derived.mbo_events(spark, sf)).select(*[F.col(c).cast("double") if c in ("order_id", "price") else F.col(c).cast("long") if c not in ("action", "side") else F.col(c) for c in e if c != "order_key"])

@@ -17,6 +17,8 @@ from .sources import events as ev
 
 SNAPSHOT_EVERY = 5_000_000
 GROUPS = 5
+#: Rows of a file that one task takes the running maximum of.
+CHUNK_ROWS = 1 << 20
 
 
 def format_of(spark: SparkSession, path: str) -> str:
@@ -37,7 +39,7 @@ def report(spark: SparkSession, path: str, every: int = SNAPSHOT_EVERY, groups:
     """Yield the texts of a run in turn."""
     began = time.time()
     events = ev.read_events(spark, path, format_of(spark, path))
-    events = cut(routing.resolve_instrument(merge.merge_order(events)).drop("instrument_id").withColumnRenamed("book", "instrument_id"))
+    events = cut(routing.resolve_instrument(merge.merge_order(events, chunk_rows=CHUNK_ROWS)).drop("instrument_id").withColumnRenamed("book", "instrument_id"))
     count = events.where("ts_recv > 0").count()
     if count >= every:
         shown = snapshots.snapshots(events, every, groups, coarse=events["ord"]["t"], order_id="order_key")

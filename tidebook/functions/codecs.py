@@ -12,17 +12,28 @@ from . import codes
 NANO = 1_000_000_000
 
 
-def iso_to_ns(text: Column) -> Column:
+def iso_to_ns(text: Column, lenient: bool = False) -> Column:
     """Nanoseconds since 1970 of 'YYYY-MM-DDThh:mm:ss[.fraction]zone', read as UTC whatever the zone; null if it isn't one.
 
-    Up to nine digits of the fraction count. Needs the session's time zone to be UTC.
+    Up to nine digits of the fraction count. Needs the session's time zone to be UTC. lenient: only the length is checked; the fields are read by their place, whatever stands
+    between them, and one that is out of its range counts on into the next (month 13 is the January after).
     """
+    dot = F.substring(text, 20, 1) == "."
+    tail = F.substring(text, 21, 9)
+    # The zone's letter is cut off without a pattern; what else follows the digits needs one.
+    short = F.substring_index(tail, "Z", 1)
+    digits = F.when(F.translate(short, "0123456789", "") == "", short).otherwise(F.regexp_extract(tail, "^[0-9]*", 0))
+    fraction = F.when(dot, F.rpad(digits, 9, "0").cast("long")).otherwise(0)
+    if lenient:
+        part = lambda at, n: F.substring(text, at, n).try_cast("long")
+        month = part(1, 4) * 12 + part(6, 2) - 1
+        first = F.make_date(F.floor(month / 12).cast("int"), (F.pmod(month, F.lit(12)) + 1).cast("int"), F.lit(1))
+        days = F.unix_date(first) + part(9, 2) - 1
+        seconds = ((days * 24 + part(12, 2)) * 60 + part(15, 2)) * 60 + part(18, 2)
+        return F.when(F.length(text) >= 19, seconds * NANO + fraction)
     # The plain cast is several times faster than a pattern; what is left without digits shows that all fields are there.
     head = F.substring(text, 1, 19)
     whole = F.when((F.length(text) >= 19) & (F.translate(head, "0123456789", "") == "--T::"), head.try_cast("timestamp"))
-    dot = F.substring(text, 20, 1) == "."
-    digits = F.regexp_extract(F.substring(text, 21, 9), "^[0-9]*", 0)
-    fraction = F.when(dot, F.rpad(digits, 9, "0").cast("long")).otherwise(0)
     return F.unix_micros(whole) * 1000 + fraction
 
 
@@ -37,6 +48,17 @@ _PRICE = r"^\s*(-?)([0-9]*)(?:\.([0-9]*))?"
 
 def price_exact(text: Column) -> Column:
     """Decimal text to units of 1e-9; further decimals are cut off. Null for null or text without digits."""
+    minus = text.startswith("-")
+    body = F.when(minus, F.substring(text, 2, 1 << 30)).otherwise(text)
+    whole = F.substring_index(body, ".", 1)
+    # Digits around one dot at most are taken apart without a pattern; anything else goes to the pattern.
+    rest = F.translate(body, "0123456789", "")
+    plain = rest.isin("", ".") & (F.length(body) > F.length(rest))
+    digits = F.concat(whole, F.rpad(F.substring(body, F.length(whole) + 2, F.lit(9)), 9, "0")).try_cast("long")
+    return F.when(plain, F.when(minus, -digits).otherwise(digits)).otherwise(_price_by_pattern(text))
+
+
+def _price_by_pattern(text: Column) -> Column:
     whole, part = F.regexp_extract(text, _PRICE, 2), F.regexp_extract(text, _PRICE, 3)
     digits = F.when(F.length(whole) + F.length(part) > 0, F.concat(whole, F.rpad(F.substring(part, 1, 9), 9, "0")))
     return F.when(F.regexp_extract(text, _PRICE, 1) == "-", -digits.try_cast("long")).otherwise(digits.try_cast("long"))

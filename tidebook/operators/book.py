@@ -64,17 +64,19 @@ def level_states(ops: DataFrame, book: list[str], order: str = "ord") -> DataFra
     return s.withColumn("exists", (F.col("qty") > 0) | (F.col("sub") == 1))
 
 
-def levels(events: DataFrame, book: list[str] | None = None, order: str = "ord", order_id: str = "order_id") -> DataFrame:
-    """(book keys, side, price, qty): the price levels of every book after all events."""
+def levels(events: DataFrame, book: list[str] | None = None, order: str = "ord", order_id: str = "order_id", at=None) -> DataFrame:
+    """(book keys, side, price, qty): the price levels of every book after all events, or after those up to at, a value of order (for a merged order a struct: see merge.place)."""
     book = book or ["instrument_id"]
+    events = events if at is None else events.where(F.col(order) <= at)
     s = level_states(level_ops(since_clear(events, book, order), book, order, order_id), book, order)
     final = s.groupBy(*book, "side", "price").agg(F.max_by(F.struct("qty", "exists"), F.struct(order, "sub")).alias("f"))
     return final.where("f.exists").select(*book, "side", "price", F.col("f.qty").alias("qty"))
 
 
-def live_orders(events: DataFrame, book: list[str] | None = None, order: str = "ord", order_id: str = "order_id") -> DataFrame:
-    """(book keys, order_id, side, price, size) of every order that is still in its book."""
+def live_orders(events: DataFrame, book: list[str] | None = None, order: str = "ord", order_id: str = "order_id", at=None) -> DataFrame:
+    """(book keys, order_id, side, price, size) of every order that is still in its book after all events, or after those up to at."""
     book = book or ["instrument_id"]
+    events = events if at is None else events.where(F.col(order) <= at)
     e = order_states(since_clear(events, book, order), book, order, order_id)
     for w, p in (("ws", "ps"), ("wp", "pp"), ("wz", "pz")):
         e = e.withColumn(w, F.coalesce(w, p))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.events import ORDINAL
+from .staging import cut
 
 
 def place(max_ts: Column) -> Column:
@@ -38,17 +39,24 @@ def merge_order(events: DataFrame, sorted_files: bool = False, chunk_rows: int |
     return joined.withColumn("ord", place(top)).drop("chunk_", "top_")
 
 
-def global_rank(df: DataFrame, coarse: Column, order: list, rows_per_bucket: int = 200_000) -> DataFrame:
-    """df with rank, 1 for the first, in the order of (coarse, *order); coarse is a long that the order starts with.
+def global_rank(df: DataFrame, coarse: Column, order: list, counted: Column | None = None) -> DataFrame:
+    """df with rank, 1 for the first, in the order of (coarse, *order); with counted (a condition), the number of counted rows up to each.
 
-    Rows are counted in buckets of coarse; a bucket's rank starts after those before it, so only bucket counts meet in one task.
+    One range partitioning by the whole order deals rows evenly, however their values lie; a row's place in its partition and the partitions' counts give the rank. The
+    ranked rows are written once; partitions, not rows, meet in one task.
     """
-    df = df.withColumn("coarse_", coarse)
-    n, low, high = df.agg(F.count("*"), F.min("coarse_"), F.max("coarse_")).first()
-    buckets = max(1, n // rows_per_bucket)
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    df = df.withColumn("bucket_", F.floor((F.col("coarse_") - F.lit(low or 0)) / width).cast("long"))
-    counts = df.groupBy("bucket_").agg(F.count("*").alias("n_"))
-    counts = counts.withColumn("base_", F.sum("n_").over(Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_")).drop("n_")
-    inside = F.row_number().over(Window.partitionBy("bucket_").orderBy("coarse_", *order))
-    return df.join(counts, "bucket_").withColumn("rank", F.col("base_") + inside).drop("bucket_", "base_", "coarse_")
+    keys = ["coarse_", *order]
+    flag = F.lit(1) if counted is None else F.coalesce(counted.cast("int"), F.lit(0))
+    dealt = df.withColumn("coarse_", coarse).withColumn("flag_", flag).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The low bits of the id count a partition's rows in their order.
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = cut(dealt.withColumn("bucket_", F.spark_partition_id()).withColumn("place_", place).drop("coarse_"), "rank")
+    counts = placed.groupBy("bucket_").agg(F.sum("flag_").alias("n_"))
+    ahead = F.sum("n_").over(Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_")
+    counts = counts.select("bucket_", ahead.alias("base_"))
+    joined = placed.join(F.broadcast(counts), "bucket_")
+    inside = F.col("place_") + 1
+    if counted is not None and placed.where("flag_ = 0").limit(1).count():
+        upto = Window.partitionBy("bucket_").orderBy("place_").rowsBetween(Window.unboundedPreceding, 0)
+        inside = F.sum("flag_").over(upto)
+    return joined.withColumn("rank", (F.col("base_") + inside).cast("long")).drop("bucket_", "place_", "base_", "flag_")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from . import book as fold
 from .merge import global_rank
-from .staging import cut
 from .views import grouped_depth
 
 
@@ -19,25 +18,14 @@ def snapshots(events: DataFrame, every_n: int, groups: int = 5, book: list[str]
     repeated only for the cuts in between, as often as it is printed.
     """
     book = book or ["instrument_id"]
-    counted = F.when(F.col("ts_recv") > 0, 1).otherwise(0)
     start = coarse if coarse is not None else F.col(order)
-    ranked = global_rank(events.withColumn("n_", counted), start, [order])
-    # Uncounted events share the rank of the counted ones before them only where all are counted; else count again.
-    uncounted = events.where("coalesce(ts_recv, 0) <= 0").limit(1).count()
-    if uncounted:
-        ahead = global_rank(events.where("ts_recv > 0"), start, [order]).select(F.col(order).alias("o_"), F.col("rank").alias("c_"))
-        w = Window.partitionBy("chunk_").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-        both = ranked.join(ahead, F.col(order) == F.col("o_"), "left").withColumn("chunk_", F.floor(F.col("rank") / 100_000))
-        carry = both.groupBy("chunk_").agg(F.max("c_").alias("top_")).withColumn("top_", F.max("top_").over(Window.orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)))
-        ranked = both.join(carry, "chunk_").withColumn("rank", F.coalesce(F.max("c_").over(w), F.col("top_"), F.lit(0))).drop("o_", "c_", "top_", "chunk_")
-        # An uncounted event after the cut's own event is applied after the cut.
-        seg = F.when(F.col("n_") == 1, F.floor((F.col("rank") - 1) / every_n)).otherwise(F.floor(F.col("rank") / every_n))
-    else:
-        seg = F.floor((F.col("rank") - 1) / every_n)
+    counted = F.coalesce(F.col("ts_recv") > 0, F.lit(False))
+    ranked = global_rank(events, start, [order], counted)
+    cuts = (ranked.agg(F.max("rank")).first()[0] or 0) // every_n
+    # An uncounted event after the cut's own event is applied after the cut.
+    seg = F.floor((F.col("rank") - counted.cast("int")) / every_n)
     e = ranked.withColumn("seg", seg.cast("long")).where("action in ('A', 'C', 'M', 'R')")
-    # Ranking reads the events twice; what follows reads its result several times.
-    e = cut(e.select(*book, order, order_id, "action", "side", "price", "size", "seg"))
-    cuts = events.where("ts_recv > 0").count() // every_n
+    e = e.select(*book, order, order_id, "action", "side", "price", "size", "seg")
 
     clear = (F.col("action") == "R").cast("int")
     inside = Window.partitionBy(*book, "seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -1,15 +1,16 @@
-"""Registered queries over the driver's tables, and the same in DuckDB's SQL."""
+"""Registered queries over the driver's tables, and the same in DuckDB's SQL.
 
-from __future__ import annotations
+Fixed values: the layout of the line that event_print checks, and the codes and constants that appear in the SQL.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, codes
 from ..operators import book, merge, routing, snapshots, views
-from ..operators.staging import ensure_checkpoint_dir
+from ..operators.staging import scratch
 from ..sources import derived
 from ..sources import events as ev
 
@@ -210,19 +211,23 @@ def _text_ids(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) if c == "order_id" else F.col(c) for c in ev.EVENT_COLUMNS if c != "order_key"])
 
 
+def _json_files(spark, sf_dir) -> str:
+    """A folder of JSON event files; the events table is one row group, so its rows are dealt out first."""
+    out = scratch(spark, "json")
+    ev.write_json(derived.canonical(derived.mbo_events(spark, sf_dir).repartition(2 * SHARDS, "ord")), out)
+    return out
+
+
 @query(f"WITH {_MBO} SELECT {_CANON_COLS} FROM mbo", channel_id='INTEGER', side='TINYINT', rtype='SMALLINT', flags='SMALLINT')
 def scan_json(spark, sf_dir):
-    lines = ev.to_json_lines(derived.canonical(derived.mbo_events(spark, sf_dir)))
-    return _text_ids(ev.good(ev.decode_lines(lines)))
+    return _text_ids(ev.read_events(spark, _json_files(spark, sf_dir), "json"))
 
 
 @query(f"WITH {_MBO} SELECT {_CANON_COLS} FROM mbo", channel_id='INTEGER', side='TINYINT', rtype='SMALLINT', flags='SMALLINT')
 def convert(spark, sf_dir):
-    lines = ev.to_json_lines(derived.canonical(derived.mbo_events(spark, sf_dir)))
-    ensure_checkpoint_dir(spark)
-    out = f"{spark.sparkContext.getCheckpointDir()}/converted-{uuid.uuid4().hex}"
-    ev.convert(ev.good(ev.decode_lines(lines)), out)
-    return _text_ids(spark.read.parquet(out))
+    out = scratch(spark, "converted")
+    ev.convert(ev.read_events(spark, _json_files(spark, sf_dir), "json"), out)
+    return _text_ids(ev.read_events(spark, out, "parquet"))
 
 
 @query(f"WITH {_MBO} SELECT count(*) FILTER (ts_recv > 0) AS n_events FROM mbo")
@@ -238,7 +243,7 @@ def event_print(spark, sf_dir):
     return e.select("ord", event_line().alias("line"))
 
 
-@query(f"WITH {_MBO}, t AS (SELECT ord, ts_recv + CASE ord % 3 WHEN 0 THEN 0 WHEN 1 THEN ord % 1000 * 1000000 ELSE ord % 1000000007 % 1000000000 END AS ns FROM (SELECT ord, ts_recv // 1000000000 * 1000000000 AS ts_recv FROM mbo)) SELECT ord, ns AS parsed_ns, CAST(NULL AS BIGINT) AS bad_month, CAST(NULL AS BIGINT) AS too_short FROM t")
+@query(f"WITH {_MBO}, t AS (SELECT ord, ts_recv + CASE ord % 3 WHEN 0 THEN 0 WHEN 1 THEN ord % 1000 * 1000000 ELSE ord % 1000000007 % 1000000000 END AS ns FROM (SELECT ord, ts_recv // 1000000000 * 1000000000 AS ts_recv FROM mbo)) SELECT ord, ns AS parsed_ns, CAST(NULL AS BIGINT) AS bad_month, CAST(NULL AS BIGINT) AS too_short, ns AS lenient_ns, CAST(epoch(make_timestamp(year(u) + 1, 1, day(u), hour(u), minute(u), second(u))) AS BIGINT) * 1000000000 + ns % 1000000000 AS lenient_month FROM (SELECT *, make_timestamp(ns // 1000) AS u FROM t)")
 def codec_ts(spark, sf_dir):
     e = derived.mbo_events(spark, sf_dir).select("ord", (F.floor(F.col("ts_recv") / codecs.NANO) * codecs.NANO).alias("s"))
     extra = F.when(F.col("ord") % 3 == 0, 0).when(F.col("ord") % 3 == 1, F.col("ord") % 1000 * 1_000_000).otherwise(F.col("ord") % 1_000_000_007 % 1_000_000_000)
@@ -247,14 +252,14 @@ def codec_ts(spark, sf_dir):
     text = F.when(F.col("ord") % 3 == 0, F.concat(F.substring(full, 1, 19), F.lit("Z"))).when(F.col("ord") % 3 == 1, F.concat(F.substring(full, 1, 23), F.lit("+02:00"))).otherwise(full)
     e = e.withColumn("text", text)
     bad = F.concat(F.substring("text", 1, 5), F.lit("13"), F.substring("text", 8, 30))
-    return e.select("ord", codecs.iso_to_ns(F.col("text")).alias("parsed_ns"), codecs.iso_to_ns(bad).alias("bad_month"), codecs.iso_to_ns(F.substring("text", 1, 16)).alias("too_short"))
+    return e.select("ord", codecs.iso_to_ns(F.col("text")).alias("parsed_ns"), codecs.iso_to_ns(bad).alias("bad_month"), codecs.iso_to_ns(F.substring("text", 1, 16)).alias("too_short"), codecs.iso_to_ns(F.col("text"), True).alias("lenient_ns"), codecs.iso_to_ns(bad, True).alias("lenient_month"))
 
 
-@query(f"WITH {_MBO}, t AS (SELECT ord, k - 50 AS whole, ord % 1000 AS milli, ord % 1000 / 1000.0::DOUBLE AS d FROM mbo), u AS (SELECT *, CAST((CASE WHEN whole < 0 THEN '-' ELSE '' END) || abs(whole) || '.' || lpad(CAST(milli AS VARCHAR), 3, '0') AS DOUBLE) AS x FROM t) SELECT ord, CASE WHEN whole < 0 THEN -1 ELSE 1 END * (abs(whole) * 1000000000 + milli * 1000000 + 123456) AS price_exact, CAST(trunc(x * 1e9::DOUBLE) AS BIGINT) AS price_truncated, CAST(CASE WHEN x * 1e9::DOUBLE < 0 THEN ceil(x * 1e9::DOUBLE - 0.5) ELSE floor(x * 1e9::DOUBLE + 0.5) END AS BIGINT) AS price_rounded FROM u")
+@query(f"WITH {_MBO}, t AS (SELECT ord, k - 50 AS whole, ord % 1000 AS milli, ord % 1000 / 1000.0::DOUBLE AS d FROM mbo), u AS (SELECT *, CAST((CASE WHEN whole < 0 THEN '-' ELSE '' END) || abs(whole) || '.' || lpad(CAST(milli AS VARCHAR), 3, '0') AS DOUBLE) AS x FROM t) SELECT ord, CASE WHEN whole < 0 THEN -1 ELSE 1 END * (abs(whole) * 1000000000 + milli * 1000000 + 123456) AS price_exact, CAST(trunc(x * 1e9::DOUBLE) AS BIGINT) AS price_truncated, CAST(CASE WHEN x * 1e9::DOUBLE < 0 THEN ceil(x * 1e9::DOUBLE - 0.5) ELSE floor(x * 1e9::DOUBLE + 0.5) END AS BIGINT) AS price_rounded, (CASE WHEN whole < 0 THEN -1 ELSE 1 END * (abs(whole) * 1000000000 + milli * 1000000 + 123456))::DOUBLE * 1e-9::DOUBLE AS price_double FROM u")
 def codec_price(spark, sf_dir):
     e = derived.mbo_events(spark, sf_dir).select("ord", (F.col("k") - 50).alias("whole"), (F.col("ord") % 1000).alias("milli"))
     text = F.concat(F.when(F.col("whole") < 0, "-").otherwise(""), F.abs("whole").cast("string"), F.lit("."), F.lpad(F.col("milli").cast("string"), 3, "0"))
-    return e.select("ord", codecs.price_exact(F.concat(text, F.lit("123456789"))).alias("price_exact"), codecs.price_truncated(text).alias("price_truncated"), codecs.price_rounded(text.cast("double")).alias("price_rounded"))
+    return e.select("ord", codecs.price_exact(F.concat(text, F.lit("123456789"))).alias("price_exact"), codecs.price_truncated(text).alias("price_truncated"), codecs.price_rounded(text.cast("double")).alias("price_rounded"), codecs.price_as_double(codecs.price_exact(F.concat(text, F.lit("123456789")))).alias("price_double"))
 
 
 _LETTERS = ["B", "S", "A", "N", "", None, "Buy", "b", "Ask", "Trade"]

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ EVENT_DDL = (
 EVENT_COLUMNS = [c.split()[0] for c in EVENT_DDL.split(", ")]
 #: Place of a record among all files: file number, start of the split, row within it.
 ORDINAL = ["file_idx", "row_block", "row_idx"]
+#: Columns of a flat Arrow file.
+FLAT_COLUMNS = "ts_recv ts_event rtype publisher_id instrument_id action side price size channel_id order_id flags ts_in_delta sequence".split()
 SUFFIXES = {"json": ".mbo.json", "feather": ".mbo.json.feather", "parquet": ".parquet"}
 
 _JSON = (
@@ -54,18 +58,38 @@ def _format_of(path: str) -> str:
     raise ValueError(f"unsupported format: {path}")
 
 
+#: Files whose numbers may be sent to every task.
+FEW_FILES = 50_000
+
+
+def _uri(spark: SparkSession, path: str) -> str:
+    """A path as Spark names it in a row's metadata: with its scheme, and escaped."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+    return re.sub("^file:/+", "file:/", uri)
+
+
+def _literal(path: str) -> str:
+    """A path that Spark takes as it stands, not as a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def _numbered(df: DataFrame, files: list[str], name: str = "file_path") -> DataFrame:
-    """file_idx from the file's place among the sorted files."""
+    """file_idx from the file's place among the sorted files; a row of a file that isn't among them raises when it is read."""
     spark = df.sparkSession
-    index = spark.createDataFrame([(f.rsplit("/", 1)[-1], i) for i, f in enumerate(files)], "file_name_ string, file_idx int")
-    return df.join(F.broadcast(index), F.element_at(F.split(F.col(name), "/"), -1) == F.col("file_name_")).drop("file_name_", name)
+    index = spark.createDataFrame([(_uri(spark, f), i) for i, f in enumerate(files)], "file_uri_ string, file_idx int")
+    index = F.broadcast(index) if len(files) <= FEW_FILES else index
+    joined = df.join(index, F.regexp_replace(name, "^file:/+", "file:/") == F.col("file_uri_"), "left")
+    lost = F.raise_error(F.concat(F.lit("a row of an unknown file: "), F.col(name))).cast("int")
+    return joined.withColumn("file_idx", F.coalesce("file_idx", lost)).drop("file_uri_", name)
 
 
-def decode_lines(lines: DataFrame, price_mode: str = "exact", strict_types: bool = False) -> DataFrame:
+def decode_lines(lines: DataFrame, price_mode: str = "exact", strict_types: bool = False, lenient_times: bool = False) -> DataFrame:
     """Lines (value string, and any ordinals) to events with a reason column, null for good ones.
 
     A record is refused if it isn't a JSON object, or if ts_recv is missing, zero or malformed, or ts_event is malformed. Any other mistyped
-    field only falls back to its default. strict_types also treats a price or order_id that isn't quoted, or another number that is, as missing.
+    field only falls back to its default. strict_types also treats a price or order_id that isn't quoted, or another number that is, as missing. lenient_times: see
+    codecs.iso_to_ns.
     """
     # Unnested from an array of one, a record is parsed once; as a plain column it would be parsed again for every field.
     once = F.struct(F.col("value").alias("line_"), F.from_json(F.trim("value"), _JSON, {"mode": "PERMISSIVE"}).alias("r_"))
@@ -76,7 +100,7 @@ def decode_lines(lines: DataFrame, price_mode: str = "exact", strict_types: bool
         for n, quoted in _QUOTED.items():
             field[n] = F.when(codecs.json_kind(text, f"$.{n}") == ("string" if quoted else "number"), field[n])
     price = (codecs.price_exact if price_mode == "exact" else codecs.price_truncated)(field["price"])
-    ts_recv, ts_event = codecs.iso_to_ns(field["ts_recv"]), codecs.iso_to_ns(field["ts_event"])
+    ts_recv, ts_event = codecs.iso_to_ns(field["ts_recv"], lenient_times), codecs.iso_to_ns(field["ts_event"], lenient_times)
     is_object = F.coalesce(codecs.json_kind(text, "$") == "object", F.lit(False)) if strict_types else F.col("r_").isNotNull() & text.startswith("{")
     reason = (
         F.when(~is_object, "not an object").when(field["ts_recv"].isNull(), "ts_recv missing").when(ts_recv.isNull() | (ts_recv == 0), "ts_recv unusable")
@@ -105,14 +129,22 @@ def malformed(decoded: DataFrame) -> DataFrame:
     return decoded.where("reason is not null").select(*kept, "reason", F.col("line_").alias("line"))
 
 
+#: An object whose objects hold objects at most; braces inside strings don't count. Nothing that is matched is given back.
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_INNER = rf"\{{(?:[^{{}}\"]++|{_STRING})*+\}}"
+_MIDDLE = rf"\{{(?:[^{{}}\"]++|{_STRING}|{_INNER})*+\}}"
+_OBJECT = rf"\{{(?:[^{{}}\"]++|{_STRING}|{_MIDDLE})*+\}}"
+
+
 def read_json_lines(spark: SparkSession, files: list[str], framing: str = "lines") -> DataFrame:
     """value and ordinals of every record of files: one a line, or with framing='concatenated' any number of objects on a line."""
     # A file's split lies in one partition, so the row's part of the id is enough beside the split's start.
     row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    df = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("row_block"), row.alias("row_idx"))
+    df = spark.read.text([_literal(f) for f in files]).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("row_block"), row.alias("row_idx"))
     if framing == "concatenated":
-        # Only between records does a closing brace meet an opening one.
-        df = df.select("file_path", "row_block", "row_idx", F.posexplode(F.split("value", r"(?<=\})\s*(?=\{)")).alias("at_", "value"))
+        # What lies between objects is a record too, which the decoder refuses.
+        records = F.regexp_extract_all("value", F.lit(rf"({_OBJECT}|[^{{\s][^{{]*|\{{)"))
+        df = df.select("file_path", "row_block", "row_idx", F.posexplode(records).alias("at_", "value"))
         df = df.withColumn("row_idx", F.shiftleft("row_idx", 20) + F.col("at_")).drop("at_")
     elif framing != "lines":
         raise ValueError(f"unknown framing {framing}")
@@ -121,8 +153,7 @@ def read_json_lines(spark: SparkSession, files: list[str], framing: str = "lines
 
 def from_flat(df: DataFrame) -> DataFrame:
     """Flat columns of an Arrow file, order_id a double, to events. A null ts_recv becomes 0 and the row is kept; a missing column raises ValueError."""
-    need = "ts_recv ts_event rtype publisher_id instrument_id action side price size channel_id order_id flags ts_in_delta sequence".split()
-    lacking = [c for c in need if c not in df.columns]
+    lacking = [c for c in FLAT_COLUMNS if c not in df.columns]
     if lacking:
         raise ValueError(f"missing columns: {', '.join(lacking)}")
     zero = lambda c, kind="long": F.coalesce(F.col(c).cast("long"), F.lit(0)).cast(kind)
@@ -138,21 +169,23 @@ def from_flat(df: DataFrame) -> DataFrame:
     return out.withColumn("order_key", codecs.order_key(F.col("order_id"))).select(*EVENT_COLUMNS, *[c for c in ORDINAL if c in df.columns])
 
 
-def read_events(spark: SparkSession, path: str, fmt: str | None = None, strict_types: bool = False, price_mode: str = "exact", framing: str = "lines") -> DataFrame:
+def read_events(
+    spark: SparkSession, path: str, fmt: str | None = None, strict_types: bool = False, price_mode: str = "exact", framing: str = "lines", lenient_times: bool = False
+) -> DataFrame:
     """All events at path, with their ordinals. Without fmt the suffix of path decides; the other settings are for JSON."""
     fmt = fmt or _format_of(path)
     files = discover(spark, path, fmt)
     if not files:
         return spark.createDataFrame([], EVENT_DDL + ", file_idx int, row_block long, row_idx long")
     if fmt == "json":
-        return good(decode_lines(read_json_lines(spark, files, framing), price_mode, strict_types))
+        return good(decode_lines(read_json_lines(spark, files, framing), price_mode, strict_types, lenient_times))
     if fmt == "feather":
         from .feather import register
 
         register(spark)
-        return from_flat(spark.read.format("arrow_ipc").option("files", "\n".join(files)).load())
-    df = spark.read.parquet(*files).select("*", F.col("_metadata.file_path").alias("file_path"), F.lit(0).cast("long").alias("row_block"), F.col("_metadata.row_index").alias("row_idx"))
-    return _numbered(df.select(*EVENT_COLUMNS, "file_path", "row_block", "row_idx"), files)
+        return from_flat(spark.read.format("arrow_ipc").option("files", "\n".join(files)).option("columns", "\n".join(FLAT_COLUMNS)).load())
+    df = spark.read.parquet(*[_literal(f) for f in files]).select(*EVENT_COLUMNS, F.col("_metadata.file_path").alias("file_path"), F.lit(0).cast("long").alias("row_block"), F.col("_metadata.row_index").alias("row_idx"))
+    return _numbered(df, files)
 
 
 def compact(events: DataFrame) -> DataFrame:
@@ -172,3 +205,14 @@ def to_json_lines(events: DataFrame) -> DataFrame:
 def convert(events: DataFrame, out: str) -> None:
     """Write events as Parquet, which later scans read by column."""
     events.write.mode("overwrite").parquet(out)
+
+
+def write_json(events: DataFrame, out: str) -> None:
+    """Write events as *.mbo.json files in a new folder, one a partition."""
+    spark = events.sparkSession
+    to_json_lines(events).select("value").write.text(out)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for s in fs.listStatus(p):
+        if s.getPath().getName().startswith("part-"):
+            fs.rename(s.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, s.getPath().getName().removesuffix(".txt") + SUFFIXES["json"]))
