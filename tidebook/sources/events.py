@@ -100,16 +100,20 @@ def decode_lines(lines: DataFrame, price_mode: str = "exact", strict_types: bool
         for n, quoted in _QUOTED.items():
             field[n] = F.when(codecs.json_kind(text, f"$.{n}") == ("string" if quoted else "number"), field[n])
     price = (codecs.price_exact if price_mode == "exact" else codecs.price_truncated)(field["price"])
-    ts_recv, ts_event = codecs.iso_to_ns(field["ts_recv"], lenient_times), codecs.iso_to_ns(field["ts_event"], lenient_times)
+    number = codecs.unsigned_number
+    # Unnested too: the refusal and the key look at these again, and generated code in smaller pieces is compiled by the JVM.
+    first = F.struct(
+        codecs.iso_to_ns(field["ts_recv"], lenient_times).alias("ts_recv"), codecs.iso_to_ns(field["ts_event"], lenient_times).alias("event_"), number(field["order_id"], 64).alias("order_id"), price.alias("price")
+    )
+    raw = raw.select("*", F.inline(F.array(first)))
     is_object = F.coalesce(codecs.json_kind(text, "$") == "object", F.lit(False)) if strict_types else F.col("r_").isNotNull() & text.startswith("{")
     reason = (
-        F.when(~is_object, "not an object").when(field["ts_recv"].isNull(), "ts_recv missing").when(ts_recv.isNull() | (ts_recv == 0), "ts_recv unusable")
-        .when(field["ts_event"].isNotNull() & ts_event.isNull(), "ts_event unusable")
+        F.when(~is_object, "not an object").when(field["ts_recv"].isNull(), "ts_recv missing").when(F.col("ts_recv").isNull() | (F.col("ts_recv") == 0), "ts_recv unusable")
+        .when(field["ts_event"].isNotNull() & F.col("event_").isNull(), "ts_event unusable")
     )
-    number = codecs.unsigned_number
     out = raw.select(
-        *[c for c in lines.columns if c != "value"], "line_", ts_recv.alias("ts_recv"), F.coalesce(ts_event, F.lit(0)).alias("ts_event"),
-        number(field["order_id"], 64).alias("order_id"), price.alias("price"), number(field["instrument_id"], 32).alias("instrument_id"),
+        *[c for c in lines.columns if c != "value"], "line_", "ts_recv", F.coalesce("event_", F.lit(0)).alias("ts_event"),
+        "order_id", "price", number(field["instrument_id"], 32).alias("instrument_id"),
         number(field["publisher_id"], 32).alias("publisher_id"), number(field["sequence"], 32).alias("sequence"), number(field["size"], 32).alias("size"),
         codecs.signed_number(field["ts_in_delta"]).cast("int").alias("ts_in_delta"), number(field["channel_id"], 16).cast("int").alias("channel_id"),
         codecs.side_code(field["side"]).alias("side"), number(field["rtype"], 8).cast("smallint").alias("rtype"), number(field["flags"], 8).cast("smallint").alias("flags"),
