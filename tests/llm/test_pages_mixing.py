@@ -214,6 +214,40 @@ def test_items_beyond_the_bound_keep_their_own_rules(spark):
     assert max(r["n_items"] for r in rules) <= 3
 
 
+@pytest.mark.parametrize("few", [0, url_filter.FEW_SETS])
+def test_rules_of_all_items_equal_counting(spark, monkeypatch, few):
+    """Whatever part FP-growth takes, every combination of tokens, counted by hand, gives the rules: also those of items beyond the most frequent of a URL."""
+    from itertools import combinations
+
+    monkeypatch.setattr(url_filter, "FEW_SETS", few)
+    rng = random.Random(11)
+    rows = []
+    for i in range(90):
+        has = [f"t{k:02}" for k in range(9) if rng.random() < 0.95 - 0.05 * k]
+        rows.append((f"u{i}", has, "block" if {"t07", "t08"} <= set(has) or rng.random() < 0.3 else "allow" if rng.random() < 0.8 else "ask"))
+    count, with_v = defaultdict(int), defaultdict(int)
+    for _, has, v in rows:
+        for c in (c for k in range(1, len(has) + 1) for c in combinations(has, k)):
+            count[c] += 1
+            with_v[c, v] += 1
+    full = {(c, v): m / count[c] for (c, v), m in with_v.items() if m >= 4 and m / count[c] >= 0.6}
+    part = lambda c: (d for k in range(1, len(c)) for d in combinations(c, k))
+    kept = {(c, v): f for (c, v), f in full.items() if not any(full.get((d, v), 0) >= f - 0.01 for d in part(c))}
+    rules = url_filter.mine_rules(spark.createDataFrame(rows, "url string, tokens array<string>, verdict string"), 4 / 90, 0.6, 0.01, combined=3)
+    got = {(tuple(sorted(x[0] for x in r["items"])), r["mined"]): r["confidence"] for r in rules.collect()}
+    assert got == pytest.approx(kept) and (("t07", "t08"), "block") in kept and max(len(c) for c, _ in kept) > 3
+
+
+def test_verdict_by_two_items_beyond_the_bound(spark):
+    """Two rare words settle the verdict of URLs of fourteen frequent ones, with the bound that the query uses."""
+    word = lambda i, k: (i * 7 + k * k) % 17 != 0 if k < 12 else (i >> k - 12) % 2 == 0
+    rows = [(f"u{i}", [f"w{k:02}" for k in range(14) if word(i, k)], "block" if i % 4 == 0 else "allow") for i in range(120)]
+    df = spark.createDataFrame(rows, "url string, tokens array<string>, verdict string")
+    rules = url_filter.mine_rules(df, 0.2)
+    assert [sorted(r["items"]) for r in rules.collect() if r["mined"] == "block"] == [[["w12"], ["w13"]]]
+    assert {r["url"] for r in url_filter.match_rules(df.select("url", "tokens"), rules).collect() if r["mined"] == "block"} == {u for u, _, v in rows if v == "block"}
+
+
 def test_listed_parts_equal_sql(spark, sf):
     same(url_filter.listed_parts(spark.read.parquet(f"{sf}/pages.parquet")), url_filter.ORACLE, sf)
     got = {r["page_id"]: tuple(r)[1:4] for r in url_filter.listed_parts(spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")).collect()}
