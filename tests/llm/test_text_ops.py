@@ -70,6 +70,18 @@ def test_licence_bodies_and_wrapped_headers(spark):
     assert got == want | {"header": ("GPL-3.0", "header"), "wrapped": ("Apache-2.0", "header"), "prose": (None, "none")}
 
 
+def test_no_plan_of_the_licence_scan_holds_several_steps(spark, monkeypatch):
+    plans, cut = [], license_scan.cut
+    monkeypatch.setattr(license_scan, "cut", lambda df, *a: (plans.append(df), cut(df, *a))[1])
+    files = spark.createDataFrame([(1, "a/LICENSE", "Released under the MIT License."), (2, "a/x.py", GPL_HEADER)], "doc_id long, path string, text string")
+    plans.append(license_scan.scan(files))
+    texts = [df._jdf.queryExecution().optimizedPlan().toString() for df in plans]
+    assert max(len(re.findall(r"\b(?:Join|Aggregate|Generate|Window) ", t)) for t in texts) <= 10
+    # Tables that grow with the input are merged, whatever the size of their files.
+    assert sum("strategy=merge" in t for t in texts) == 2
+    assert sum(t.count("strategy=broadcast") for t in texts) == 1
+
+
 def test_licences_of_odd_rows(spark):
     holds(lambda d: license_scan.scan(license_scan.as_files(d)), documents(spark))
 

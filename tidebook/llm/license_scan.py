@@ -12,10 +12,10 @@ import re
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import cut
+from .staging import cut, drop
 
 #: Licence name and the wording of its usual header or reference.
 TEMPLATES = [
@@ -93,32 +93,48 @@ def _anchors(vectors) -> list[str]:
     return sorted(out)
 
 
-def best_templates(lines: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(line, best struct<score, license>) of the distinct lines that reach the threshold with some template; a column body, if there
-    is one, holds the text that line is the key of.
+def _best(texts: DataFrame, sets, threshold: float) -> DataFrame:
+    """(set, key, best struct<score, license>) of texts (set int, key, body), one row a set and key, that reach the threshold with some template of sets[set].
 
-    Sparse vectors as rows: a line's terms are counted, weighed by a join with the idf table and multiplied by a join with the
-    templates' vectors. Both tables are fixed and of a few hundred rows. Of equal cosines the later name counts.
+    Sparse vectors as rows: a text's terms are counted, weighed by a join with the idf table, which also holds the templates' weights
+    of a term, and multiplied by these. That table is fixed and of a few thousand rows. Of equal cosines the later name counts.
+    All sets go through one plan, and rows dealt by (set, key) are not dealt again.
     """
-    spark = lines.sparkSession
-    idf, vectors, unseen = _weights(templates)
-    idf_table = F.broadcast(spark.createDataFrame(list(idf.items()), "w string, idf double"))
-    rows = [(i, name, w, y) for i, (name, v) in enumerate(vectors) for w, y in v.items()]
-    template_table = F.broadcast(spark.createDataFrame(rows, "i int, license string, w string, y double"))
+    rows, unseens = [], []
+    for s, templates in enumerate(sets):
+        idf, vectors, unseen = _weights(templates)
+        unseens.append(F.lit(unseen))
+        rows += [(s, w, x, [(i, name, v[w]) for i, (name, v) in enumerate(vectors) if w in v]) for w, x in idf.items()]
+    table = F.broadcast(texts.sparkSession.createDataFrame(rows, "set int, w string, idf double, weights array<struct<i:int,license:string,y:double>>"))
+    terms = texts.select("set", "key", F.explode(F.regexp_extract_all(F.lower("body"), F.lit(f"({_WORD})"))).alias("w")).groupBy("set", "key", "w").count()
+    x = F.col("count") * F.coalesce("idf", F.element_at(F.array(*unseens), F.col("set") + 1))
+    terms = terms.join(table, ["set", "w"], "left").select("set", "key", x.alias("x"), "weights")
+    # The term times itself, for the norm, has no template.
+    own = F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("license"), F.col("x").alias("y")))
+    dots = terms.select("set", "key", "x", F.explode(F.concat(own, F.coalesce("weights", F.array().cast("array<struct<i:int,license:string,y:double>>")))).alias("t"))
+    dots = dots.groupBy("set", "key", "t.i", "t.license").agg(F.sum(F.col("x") * F.col("t.y")).alias("dot"))
+    norm = F.sqrt(F.max(F.when(F.col("i").isNull(), F.col("dot")))).alias("norm")
+    scored = dots.groupBy("set", "key").agg(norm, F.collect_list(F.when(F.col("i").isNotNull(), F.struct("dot", "license"))).alias("dots"))
+    scored = scored.select("set", "key", F.array_max(F.transform("dots", lambda d: F.struct(F.round(d["dot"] / F.col("norm"), 6).alias("score"), d["license"].alias("license")))).alias("best"))
+    return scored.where(F.col("best.score") >= threshold)
+
+
+def best_templates(lines: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(line, best struct<score, license>) of the distinct lines that reach the threshold with some template; a column body, if there
+    is one, holds the text that line is the key of."""
     body = "body" if "body" in lines.columns else "line"
-    terms = lines.select("line", F.explode(F.regexp_extract_all(F.lower(body), F.lit(f"({_WORD})"))).alias("w")).groupBy("line", "w").count()
-    terms = terms.join(idf_table, "w", "left").select("line", "w", (F.col("count") * F.coalesce("idf", F.lit(unseen))).alias("x"))
-    norms = terms.groupBy("line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = terms.join(template_table, "w").groupBy("line", "i", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dots.join(norms, "line").select("line", F.struct(F.round(F.col("dot") / F.col("norm"), 6).alias("score"), "license").alias("best"))
-    return scored.where(F.col("best.score") >= threshold).groupBy("line").agg(F.max("best").alias("best"))
+    texts = lines.select(F.lit(0).alias("set"), F.col("line").alias("key"), F.col(body).alias("body"))
+    return _best(texts, [templates], threshold).select(F.col("key").alias("line"), "best")
 
 
 def _found(held: DataFrame, best: DataFrame) -> DataFrame:
-    """(doc_id, path, best) of held (doc_id, path, line), where many may share a line."""
-    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    """(doc_id, path, best) of held (doc_id, path, set, key), where many may share a key.
+
+    Merged at every size: best is read from files, whose size says little of the salted rows that a broadcast would put into the driver.
+    """
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).hint("merge")
     salt = F.pmod(F.coalesce(F.xxhash64("doc_id", "path"), F.lit(0)), F.lit(_SALTS)).cast("int").alias("salt")
-    return held.select("doc_id", "path", "line", salt).join(best, ["line", "salt"]).select("doc_id", "path", "best")
+    return held.select("doc_id", "path", "set", "key", salt).join(best, ["set", "key", "salt"]).select("doc_id", "path", "best")
 
 
 def blocks(files: DataFrame) -> DataFrame:
@@ -162,32 +178,35 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, he
     lines = held.select("doc_id", "path", F.explode(F.split("text", "\n")).alias("line"))
     lower = F.lower("line")
     # A plain search leaves few lines to the pattern; what passes is small and is read twice.
-    lines = cut(lines.where(reduce(lambda x, y: x | y, [F.contains(lower, F.lit(a)) for a in anchors])).where(lower.rlike(whole)))
-    own = _found(lines, best_templates(lines.select("line").distinct(), templates, threshold))
-    name, dir_ = F.regexp_extract("path", r"([^/]*)$", 1), F.regexp_replace("path", r"/?[^/]*$", "")
-    block = cut(blocks(files.select("doc_id", path, "text")))
-    many = block.where("many")
-    own = own.union(_found(many, best_templates(many.select("line").distinct(), templates, threshold)))
-    own = own.union(_found(block, best_templates(block.select("line").distinct(), headers, threshold)))
-    whole = files.select("doc_id", path, F.md5("text").alias("line"), F.col("text").alias("body")).where(name.rlike(LICENSE_FILE) & F.col("text").isNotNull())
-    own = own.union(_found(whole, best_templates(whole.select("line", "body").dropDuplicates(["line"]), bodies, threshold)))
-    own = own.groupBy("doc_id", "path").agg(F.max("best").alias("best_"))
-    own = own.select(F.col("doc_id").alias("d_"), F.col("path").alias("p_"), "best_")
-    f = files.select("doc_id", path).join(own, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("path") == F.col("p_")), "left")
-    return _inherit(f.select("doc_id", "path", dir_.alias("dir_"), "best_", name.rlike(LICENSE_FILE).alias("is_file")))
+    lines = lines.where(reduce(lambda x, y: x | y, [F.contains(lower, F.lit(a)) for a in anchors])).where(lower.rlike(whole))
+    # Each step is written, so that no plan holds several: the driver keeps all of a plan and its code while it runs.
+    lines = cut(lines.withColumn("key", F.sha2("line", 256)))
+    block = cut(blocks(files.select("doc_id", path, "text")).withColumn("key", F.sha2("line", 256)))
+    sets = [templates, headers, bodies]
+    of = lambda rows, s, body: rows.select("doc_id", "path", s.alias("set"), "key", F.col(body).alias("body"))
+    is_file = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENSE_FILE)
+    held = of(lines, F.lit(0), "line").union(of(block, F.explode(F.when(F.col("many"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))), "line"))
+    held = held.union(of(files.select("doc_id", path, F.sha2("text", 256).alias("key"), "text").where(is_file & F.col("text").isNotNull()), F.lit(2), "text"))
+    best = cut(_best(held.groupBy("set", "key").agg(F.first("body").alias("body")), sets, threshold))
+    own = cut(_found(held, best).groupBy("doc_id", "path").agg(F.max("best").alias("best_")))
+    drop(lines, block, best)
+    return _inherit(files.select("doc_id", path), own, is_file)
 
 
-def _inherit(f: DataFrame) -> DataFrame:
-    """Join each file's directory to the nearest of its ancestors, itself included, that holds a licence file."""
-    given = f.where("is_file and best_ is not null").groupBy(F.col("dir_").alias("up")).agg(F.max("best_").alias("given"))
-    dirs = f.select("dir_").distinct()
+def _inherit(files: DataFrame, own: DataFrame, is_file: Column) -> DataFrame:
+    """Join each file's directory to the nearest of its ancestors, itself included, that holds a licence file with a statement in own (doc_id, path, best_)."""
+    dir_ = F.regexp_replace("path", r"/?[^/]*$", "").alias("dir_")
+    given = own.where(is_file).groupBy(dir_.alias("up")).agg(F.max("best_").alias("given"))
+    dirs = files.select(dir_).distinct()
     part = F.split("dir_", "/")
     ups = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(part)), lambda i: F.array_join(F.slice(part, F.lit(1), i), "/")))
     near = dirs.withColumn("up", F.explode(F.array_distinct(ups))).join(given, "up")
     near = near.groupBy("dir_").agg(F.max_by(F.struct("up", "given"), F.length("up")).alias("near"))
     near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    f = f.withColumn("salt", F.pmod(F.coalesce(F.xxhash64("doc_id", "path"), F.lit(0)), F.lit(_SALTS)).cast("int"))
-    out = f.join(near, ["dir_", "salt"], "left")
+    own = own.select(F.col("doc_id").alias("d_"), F.col("path").alias("p_"), "best_")
+    f = files.join(own.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("path") == F.col("p_")), "left")
+    salt = F.pmod(F.coalesce(F.xxhash64("doc_id", "path"), F.lit(0)), F.lit(_SALTS)).cast("int").alias("salt")
+    out = f.select("doc_id", "path", "best_", dir_, is_file.alias("is_file"), salt).join(near, ["dir_", "salt"], "left")
     own = F.col("best_.license")
     kind = F.when(own.isNotNull() & F.col("is_file"), "file").when(own.isNotNull(), "header").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     return out.select(
